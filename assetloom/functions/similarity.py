@@ -53,6 +53,13 @@ class Texts:
         return np.bincount(owner * CLASSES + cls, minlength=self.n * CLASSES).reshape(self.n, CLASSES).astype(np.int32)
 
 
+def codes_of(values) -> tuple[np.ndarray, list]:
+    """Each value's number in order of first appearance, and the distinct values; any text is safe as a key."""
+    seen: dict = {}
+    numbers = np.fromiter((seen.setdefault(v, len(seen)) for v in values), dtype=np.int64, count=len(values))
+    return numbers, list(seen)
+
+
 def _bit_table(texts: Texts, ids: np.ndarray, words: int):
     """Per text and character, the bit mask of the character's places; last row is 'no such character'."""
     lengths = texts.lengths[ids]
@@ -231,9 +238,8 @@ def _pair_udf(scorer: str):
         out = pd.Series(np.nan, index=a.index, dtype="float64")
         known = (a.notna() & b.notna()).to_numpy()
         if known.any():
-            ac, au = pd.factorize(a[known])
-            bc, bu = pd.factorize(b[known])
-            out[known] = SCORERS[scorer](Texts(list(au)), Texts(list(bu)), ac, bc)
+            (ac, au), (bc, bu) = codes_of(a[known]), codes_of(b[known])
+            out[known] = SCORERS[scorer](Texts(au), Texts(bu), ac, bc)
         return out.astype(object).where(known, None)
 
     return score

@@ -17,7 +17,7 @@ REVIEW_THRESHOLD = 45.0
 
 def pair_key(first: Column, second: Column) -> Column:
     """Two texts as one unambiguous key (the length of the first leads)."""
-    return F.concat(first, F.lit("\u0000"), second, F.lit("\u0000"), F.length(first).cast("string"))
+    return F.concat(first, F.lit("\u0001"), second, F.lit("\u0001"), F.length(first).cast("string"))
 
 
 def exact_match(assets: DataFrame, purchases: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.functions.similarity import SCORERS, Texts, overlap_matrix, score_bound
+from assetloom.functions.similarity import SCORERS, Texts, codes_of, overlap_matrix, score_bound
 from assetloom.functions.values import DAY_MICROS
 from assetloom.operators.ranking import dense_ids
 from assetloom.session import cut
@@ -173,7 +173,7 @@ _DIRECTORY_SCHEMA = (
 
 
 def _shard_entry(t: pd.DataFrame) -> pd.DataFrame:
-    texts = Texts(list(pd.unique(t["ttext"])))
+    texts = Texts(codes_of(t["ttext"])[1])
     first = t.sort_values(["t_key", "t_at"]).iloc[0] if t["t_key"].notna().any() else t.iloc[0]
     return pd.DataFrame(
         {
@@ -235,8 +235,8 @@ def _routes(batches, d: pd.DataFrame, rule: Rule, at_home: bool):
         step = max(1, MATRIX_CELLS // len(d))
         for at in range(0, len(q), step):
             part, home = q.iloc[at : at + step], homes[at : at + step]
-            code, unique = pd.factorize(part["qtext"])
-            texts = Texts(list(unique))
+            code, unique = codes_of(part["qtext"])
+            texts = Texts(unique)
             bound = score_bound(
                 rule.scorer, overlap_matrix(texts.class_counts(), counts), texts.lengths[:, None], min_len[None, :], max_len[None, :]
             )
@@ -288,9 +288,9 @@ def score_group(q: pd.DataFrame, t: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     )
     if q.empty or t.empty:
         return empty
-    t_code, t_unique = pd.factorize(t["ttext"])
-    q_code, q_unique = pd.factorize(q["qtext"], sort=True)
-    t_texts, q_texts = Texts(list(t_unique)), Texts(list(q_unique))
+    t_code, t_unique = codes_of(t["ttext"])
+    q_code, q_unique = codes_of(q["qtext"])
+    t_texts, q_texts = Texts(t_unique), Texts(q_unique)
     t_counts, q_counts = t_texts.class_counts(), q_texts.class_counts()
     least = np.maximum(q["least"].to_numpy(), rule.floor)
     lowest = np.full(len(q_unique), np.inf)
@@ -299,7 +299,7 @@ def score_group(q: pd.DataFrame, t: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     q, q_code = q.iloc[order], q_code[order]
     first_row = np.searchsorted(q_code, np.arange(len(q_unique) + 1))
 
-    key_codes, _ = pd.factorize(pd.concat([q["q_key"], t["t_key"]], ignore_index=True))
+    key_codes, _ = codes_of([*q["q_key"], *t["t_key"]])
     t_side = {
         "code": t_code,
         "key": key_codes[len(q) :],
@@ -366,7 +366,7 @@ def _pick(rows, scores, q, t, rule):
     s = scores[:, t["code"]]
     s = np.where(rule.clears(s), s, -1.0)
     if rule.keyed:
-        same = (q["key"][rows][:, None] == t["key"][None, :]) & (q["key"][rows] >= 0)[:, None]
+        same = q["key"][rows][:, None] == t["key"][None, :]
         s = np.where(same, EXACT, s)
     q_at = q["q_at"][rows][:, None].astype(np.int64)
     ok = (t["at"][None, :] <= q_at) & (t["cut"][None, :] >= q["q_min"][rows][:, None])

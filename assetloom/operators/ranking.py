@@ -13,9 +13,7 @@ from assetloom.session import cut
 COPIES_PER_BLOCK = 65_536
 
 
-def dense_ids(
-    df: DataFrame, order_by: list[Column], id_col: str, unique: bool = False, partitions: int | None = None
-) -> DataFrame:
+def dense_ids(df: DataFrame, order_by: list[Column], id_col: str, unique: bool = False) -> DataFrame:
     """Number the rows 1..n in the given order; all remaining columns break ties.
 
     Wholly equal rows are collapsed to a count before the shuffle and expanded
@@ -23,12 +21,10 @@ def dense_ids(
     rows are range-partitioned once and written with their range number; the
     only global step is a running sum over one count per range.
     """
-    spark = df.sparkSession
     columns = df.columns
-    partitions = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     if unique:
         ranged = cut(
-            df.repartitionByRange(partitions, *order_by).withColumn("_range", F.spark_partition_id()), "ranges"
+            df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()), "ranges"
         )
         place = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
         offsets = _offsets(ranged.groupBy("_range").agg(F.count("*").alias("_total")))
@@ -43,7 +39,7 @@ def dense_ids(
     )
     order = [*order_by, *[F.col(f"`{c}`").asc_nulls_last() for c in columns], F.col("_block").asc()]
     ranged = cut(
-        blocks.repartitionByRange(partitions, *order).withColumn("_range", F.spark_partition_id()), "ranges"
+        blocks.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
     )
     offsets = _offsets(ranged.groupBy("_range").agg(F.sum("_copies").alias("_total")))
     in_range = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)

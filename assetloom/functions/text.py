@@ -43,25 +43,30 @@ def _literal_map(texts: pd.Series) -> pd.Series:
     return texts.map(parse, na_action="ignore").astype(object).where(texts.notna(), None)
 
 
-def dict_literal(text: Column) -> Column:
-    """Dict-literal or JSON-object text to ``map<string,string>``; bad text gives an empty map.
+def json_dict(text: Column) -> Column:
+    """The JVM's part: the JSON reader after the bare words are respelled.
 
-    The common shape is parsed by the JVM JSON reader after the bare words are
-    respelled. Texts with escapes, or with a bare word inside a quoted value,
-    and texts the JSON reader refuses, go through one Arrow batch UDF.
+    Null for texts it refuses, for texts with escapes, and where a quoted value
+    holds what looks like a bare word.
     """
     outside = F.regexp_replace(text, _QUOTED, "''")
-    respelled, inside_quotes = text, F.lit(False)
+    respelled, odd = text, text.contains("\\")
     for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
         pattern = _BARE.format(word=word)
-        inside_quotes = inside_quotes | (
-            F.regexp_count(text, F.lit(pattern)) != F.regexp_count(outside, F.lit(pattern))
-        )
+        odd = odd | (F.regexp_count(text, F.lit(pattern)) != F.regexp_count(outside, F.lit(pattern)))
         respelled = F.regexp_replace(respelled, pattern, json_word)
-    odd = inside_quotes | text.contains("\\")
-    native = F.when(~odd, F.from_json(respelled, MAP_TYPE))
-    needs_udf = text.isNotNull() & (odd | native.isNull())
-    return F.coalesce(native, _literal_map(F.when(needs_udf, text)), F.from_json(F.lit("{}"), MAP_TYPE))
+    return F.when(~odd, F.from_json(respelled, MAP_TYPE))
+
+
+def or_literal(parsed: Column, text: Column) -> Column:
+    """``parsed``, else the text read as a Python literal in Arrow batches, else an empty map."""
+    rest = F.when(parsed.isNull() & text.isNotNull(), text)
+    return F.coalesce(parsed, _literal_map(rest), F.from_json(F.lit("{}"), MAP_TYPE))
+
+
+def dict_literal(text: Column) -> Column:
+    """Dict-literal or JSON-object text to ``map<string,string>``; bad text gives an empty map."""
+    return or_literal(json_dict(text), text)
 
 
 def parse_address(text: Column) -> Column:

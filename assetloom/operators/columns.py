@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.functions.text import clean_quotes, dict_literal, match_key
+from assetloom.functions.text import clean_quotes, json_dict, match_key, or_literal
 from assetloom.functions.values import normalise_date, to_count, to_long, to_time
 
 # Columns typed as whole numbers and as text after each file read.
@@ -40,9 +40,20 @@ def strip_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[c.strip() for c in df.columns])
 
 
+def once(df: DataFrame, value, out: str) -> DataFrame:
+    """Add a column that is computed once; a plain projection would be repeated wherever it is used."""
+    return df.select("*", F.explode(F.array(value)).alias(out))
+
+
+def with_bag(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Add the attribute bag of a dict-literal text column as ``map<string,string>``."""
+    parsed = once(df, json_dict(col(column)), "_json")
+    return once(parsed, or_literal(F.col("_json"), col(column)), out).drop("_json")
+
+
 def bag_keys(df: DataFrame, column: str = "type_fields") -> list[str]:
     """The distinct attribute names over all rows (one action; the names become columns)."""
-    names = df.select(F.explode(F.map_keys(dict_literal(col(column)))).alias("k")).distinct()
+    names = with_bag(df.select(col(column)), column, "_bag").select(F.explode(F.map_keys("_bag")).alias("k")).distinct()
     found = [r.k for r in names.limit(MAX_FLATTENED + 1).collect()]
     if len(found) > MAX_FLATTENED:
         raise ValueError(f"more than {MAX_FLATTENED} attribute names in {column}")
@@ -59,8 +70,8 @@ def flatten_bag(df: DataFrame, column: str = "type_fields", keys: list[str] | No
     clash = sorted(set(others) & set(keys))
     if clash:
         raise ValueError(f"attribute names already used as columns: {clash}")
-    bag = df.select(*[col(c) for c in others], dict_literal(col(column)).alias("_bag"))
-    return bag.select(*[col(c) for c in others], *[F.try_element_at("_bag", F.lit(k)).alias(k) for k in keys])
+    attributes = [F.try_element_at("_bag", F.lit(k)).alias(k) for k in keys]
+    return with_bag(df, column, "_bag").select(*[col(c) for c in others], *attributes)
 
 
 def strip_suffixes(df: DataFrame) -> DataFrame:

@@ -102,7 +102,7 @@ def flatten_and_consolidate(spark, sf_dir):
         F.lit(", 'failed_5': "), F.when(F.col("event_type") == "error", "True").otherwise("False"),
         F.lit(", 'site_9': \"O'Neil\"}"),
     )
-    events = table(spark, sf_dir, "events").select("event_id", bag.alias("type_fields"))
+    events = C.once(table(spark, sf_dir, "events"), bag, "type_fields").select("event_id", "type_fields")
     flat = C.strip_suffixes(C.flatten_bag(events))
     flat = flat.withColumns({c: V.to_number(C.col(c)) for c in flat.columns if c.startswith("memory")})
     return C.consolidate(flat, "memory", "max").withColumn("failed", F.col("failed") == "true")

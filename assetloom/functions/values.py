@@ -91,4 +91,6 @@ def round2(c: Column) -> Column:
 def whole_text(c: Column) -> Column:
     """A float without decimals, halves to even; null gives ``''``."""
     clean = F.when(~F.isnan(c), c)
-    return F.coalesce(F.format_string("%.0f", F.bround(clean, 0)), F.lit(""))
+    rounded = F.bround(clean, 0)
+    text = F.when((clean < 0) & (rounded == 0), F.lit("-0")).otherwise(F.format_string("%.0f", rounded))
+    return F.when(clean.isNull(), F.lit("")).otherwise(text)

@@ -67,8 +67,7 @@ def read_pages(spark: SparkSession, path: str, record_schema: str, page_pattern:
     is not JSON raises.
     """
     pages = (
-        spark.read.option("wholetext", True)
-        .text(path)
+        spark.read.text(path, wholetext=True)
         .select(
             F.regexp_extract(F.col("_metadata.file_name"), page_pattern, 1).cast("bigint").alias("page"),
             F.from_json("value", "map<string,string>", {"mode": "FAILFAST"}).alias("body"),
@@ -131,5 +130,5 @@ def read_json_map(spark: SparkSession, path: str, value_type: str = "bigint") ->
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
     """A value mapping kept as one dict literal in a text file, as rows ``(raw, canonical)``."""
-    text = spark.read.option("wholetext", True).text(path).select(first_braces(F.col("value")).alias("t"))
+    text = spark.read.text(path, wholetext=True).select(first_braces(F.col("value")).alias("t"))
     return text.select(F.explode(dict_literal(F.col("t"))).alias("raw", "canonical"))

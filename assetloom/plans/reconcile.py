@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from assetloom.operators.assign import auto_match, match_summary, with_assignments
 from assetloom.operators.columns import INT_COLUMNS_LINKING, asset_keys, enforce_types, only_category, purchase_keys
@@ -50,8 +49,7 @@ def run(
     purchases = cut(purchase_keys(only_category(purchases, "asset_class", category)), "purchases")
     assets = cut(asset_keys(only_category(assets, "asset_type_name", category)), "cleaned")
 
-    by_age = [F.col("created_at").asc_nulls_last(), F.col("asset_id").asc()]
-    matches = cut(auto_match(assets, purchases, asset_order=by_age), "matches")
+    matches = cut(auto_match(assets, purchases, asset_order=("created_at", "asset_id")), "matches")
     linked = link_employees(with_assignments(assets, matches), employees)
     linked = cut(enforce_types(linked, INT_COLUMNS_LINKING), "linked")
 

@@ -107,9 +107,15 @@ def consolidate(df: DataFrame, base: str, method: str = "sum") -> DataFrame:
     return df.withColumn(base, value).drop(*names)
 
 
+def as_long(df: DataFrame, name: str):
+    """The column as a nullable whole number; columns that are integers already are only widened."""
+    integral = isinstance(df.schema[name].dataType, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
+    return col(name).cast("bigint") if integral else to_long(col(name))
+
+
 def enforce_types(df: DataFrame, ints: list[str] = INT_COLUMNS, strings: list[str] = STR_COLUMNS) -> DataFrame:
     """Ids to nullable whole numbers (bad values null), the listed texts to strings; nulls stay null."""
-    typed = {c: to_long(col(c)) for c in ints if c in df.columns}
+    typed = {c: as_long(df, c) for c in ints if c in df.columns}
     typed |= {c: col(c).cast("string") for c in strings if c in df.columns}
     return df.withColumns(typed) if typed else df
 

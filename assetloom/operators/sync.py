@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.functions.text import address_line
-from assetloom.functions.values import before_dot, id_text, iso_to_utc_date, map_value, to_long
+from assetloom.functions.values import before_dot, id_text, iso_to_utc_date, map_value
+from assetloom.operators.columns import as_long
 
 # Select options the employee table accepts, by incoming value.
 STATUS_OPTIONS = {"Active": "Active", "Inactive": "Inactive", "On Leave": "On Leave"}
@@ -181,7 +182,7 @@ def link(assets: DataFrame, name: str, order: str) -> DataFrame:
     """One link relation: both keys present, and the last asset row (by ``order``) wins per source."""
     src_key, dst_key, src_column, dst_column = LINKS[name]
     edges = assets.select(
-        to_long(F.col(src_column)).alias(src_key), to_long(F.col(dst_column)).alias(dst_key), F.col(order).alias("_order")
+        as_long(assets, src_column).alias(src_key), as_long(assets, dst_column).alias(dst_key), F.col(order).alias("_order")
     ).where(F.col(src_key).isNotNull() & F.col(dst_key).isNotNull())
     return edges.groupBy(src_key).agg(F.max_by(dst_key, "_order").alias(dst_key))
 
@@ -189,7 +190,7 @@ def link(assets: DataFrame, name: str, order: str) -> DataFrame:
 def link_counts(assets: DataFrame) -> DataFrame:
     """Rows linked per relation, in one pass over the assets."""
     counts = [
-        F.count_if(to_long(F.col(s)).isNotNull() & to_long(F.col(d)).isNotNull()).alias(name)
+        F.count_if(as_long(assets, s).isNotNull() & as_long(assets, d).isNotNull()).alias(name)
         for name, (_, _, s, d) in LINKS.items()
     ]
     pairs = ", ".join(f"'{n}', {n}" for n in LINKS)

@@ -99,8 +99,8 @@ def running_before(
     )
 
 
-def group_total(df: DataFrame, group: list[str], value: Column, out: str, bound: int) -> DataFrame:
-    """Sum of ``value`` over the whole group, on every row; ``bound`` as in ``running_before``."""
+def over_group(df: DataFrame, group: list[str], total: Column, out: str, bound: int) -> DataFrame:
+    """An aggregate of the whole group on every row of it; ``bound`` as in ``running_before``."""
     if bound <= PLAIN_WINDOW_ROWS:
-        return df.withColumn(out, F.sum(value).over(Window.partitionBy(*group)).cast("bigint"))
-    return df.join(df.groupBy(*group).agg(F.sum(value).cast("bigint").alias(out)), group)
+        return df.withColumn(out, total.over(Window.partitionBy(*group)).cast("bigint"))
+    return df.join(df.groupBy(*group).agg(total.cast("bigint").alias(out)), group)

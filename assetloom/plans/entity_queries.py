@@ -194,13 +194,13 @@ def upsert_vendors(spark, sf_dir):
 
 
 @query("upsert_asset_types", """
-SELECT n_nationkey::VARCHAR AS asset_type_id, n_name AS name, CASE WHEN n_regionkey > 2 THEN n_name END AS note FROM nation
+SELECT p_partkey::VARCHAR AS asset_type_id, p_name AS name, CASE WHEN p_size > 25 THEN p_type END AS note FROM part
 """)
 def upsert_asset_types(spark, sf_dir):
     """The one entity whose null note clears the stored note."""
-    nations = table(spark, sf_dir, "nation")
-    stored = nations.selectExpr("CAST(n_nationkey AS STRING) AS asset_type_id", "'old' AS name", "'old' AS note")
-    source = nations.selectExpr("n_nationkey AS id", "n_name AS name", "CASE WHEN n_regionkey > 2 THEN n_name END AS description")
+    parts = table(spark, sf_dir, "part")
+    stored = parts.selectExpr("CAST(p_partkey AS STRING) AS asset_type_id", "'old' AS name", "'old' AS note")
+    source = parts.selectExpr("p_partkey AS id", "p_name AS name", "CASE WHEN p_size > 25 THEN p_type END AS description")
     return sync.push_entity("asset_types", stored, source, "id")
 
 

@@ -54,7 +54,7 @@ def test_running_before_by_cells(spark, monkeypatch, plain_rows):
     from pyspark.sql import functions as F
 
     ran = ranking.running_before(df, ["g"], "pos", F.col("n"), "before", 200, levels=["lvl"])
-    got = {r.pos: (r.before, r.total) for r in ranking.group_total(ran, ["g"], F.col("n"), "total", 200).collect()}
+    got = {r.pos: (r.before, r.total) for r in ranking.over_group(ran, ["g"], F.sum("n"), "total", 200).collect()}
     for g in "ab":
         seen = 0
         members = sorted((r[1], r[2], r[3]) for r in rows if r[0] == g)

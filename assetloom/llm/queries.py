@@ -2,18 +2,45 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from assetloom.llm import exact_dedup
+from assetloom.llm import bpe, exact_dedup, packing
 from assetloom.llm.common import table
 
 
+def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    coded = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
+
+
+#: Tokens of a packed sequence, and the id that ends a document.
+SEQUENCE_TOKENS = 4096
+END_ID = 1
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    pieces = packing.token_pieces(table(spark, sf_dir, "documents"), path, SEQUENCE_TOKENS, END_ID)
+    return packing.pack(pieces, SEQUENCE_TOKENS)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    "op2_bpe": op2_bpe,
+    "op3_packing": op3_packing,
+    "op10_exact_dedup": op10_exact_dedup,
+}
 
 SQL = {
     "op10_exact_dedup": r"""

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import bpe, exact_dedup, packing
+from assetloom.llm import bpe, exact_dedup, language, packing
 from assetloom.llm.common import table
 
 
@@ -31,6 +31,21 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, SEQUENCE_TOKENS)
 
 
+def language_split(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``held_out``: rows that no language model learns from."""
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+
+
+def language_model(docs: DataFrame) -> language.Model:
+    return language.train(language_split(docs.select("doc_id", "text", "lang")).where("NOT held_out AND doc_id IS NOT NULL"))
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.identify(docs, language_model(docs))
+    return language_split(found).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -39,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
+    "op4_language": op4_language,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

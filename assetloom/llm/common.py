@@ -61,7 +61,7 @@ class _Powers:
     def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(cls.up) < n:
             n = max(n, _BLOCK + 1)
-            grow = lambda base: np.cumprod(np.concatenate([[1], np.full(n - 1, base, np.uint64)]).astype(np.uint64))
+            grow = lambda base: np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)))
             cls.up, cls.down = grow(_BASE), grow(pow(_BASE, -1, 1 << 64))
         return cls.up, cls.down
 
@@ -83,20 +83,16 @@ def _blocks(space: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all words of the rows, and the index of each row's first word.
+def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()):
+    """Blocks of the words of the rows: begins, ends and 64-bit hashes, and a row of hashes for each prefix length.
 
-    Words are runs of bytes other than ASCII white space, with A-Z in lower case.
-    A word's hash depends on its bytes alone. Memory beyond the input is a few
-    megabytes and eight bytes a word.
+    Words are runs of bytes outside ``gap``, with A-Z in lower case; a word's hash
+    depends on its bytes alone. The hash of a prefix is 0 in shorter words. Memory
+    beyond the input is a few megabytes a block.
     """
-    rows = len(offsets) - 1
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    space = _SPACE[data]
+    space = gap[data]
     first = np.zeros(len(data), bool)
     first[offsets[:-1][offsets[:-1] < len(data)]] = True
-    hashes, places = [], []
     for lo, hi in _blocks(space, first):
         word = ~space[lo:hi]
         begin = word.copy()
@@ -110,12 +106,21 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
         up, down = _Powers.get(hi - lo + 1)
         sums = np.zeros(hi - lo + 1, np.uint64)
         np.cumsum(_BYTE_VALUE[_LOWER[data[lo:hi]]] * up[: hi - lo], out=sums[1:])
-        value = (sums[ends] - sums[starts]) * down[starts]
-        hashes.append(mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
-        places.append(starts + lo)
-    if not hashes:
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    return np.concatenate(hashes), np.searchsorted(np.concatenate(places), offsets).astype(np.int64)
+
+        def value(to: np.ndarray) -> np.ndarray:
+            return mix((sums[to] - sums[starts]) * down[starts] + (to - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+        parts = [np.where(ends - starts >= n, value(np.minimum(starts + n, ends)) ^ np.uint64(n), np.uint64(0)) for n in prefixes]
+        yield starts + lo, ends + lo, value(ends), parts
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words between ASCII white space, and the index of each row's first word."""
+    blocks = [(starts, hashes) for starts, _, hashes, _ in words(data, offsets)]
+    if not blocks:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    places = np.concatenate([p for p, _ in blocks])
+    return np.concatenate([h for _, h in blocks]), np.searchsorted(places, offsets).astype(np.int64)
 
 
 def row_slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import bpe, exact_dedup, language, packing
+from assetloom.llm import bpe, exact_dedup, language, packing, toxicity
 from assetloom.llm.common import table
 
 
@@ -46,6 +46,23 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_split(found).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def toxicity_split(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``held_out``: rows whose labels no toxicity model learns from."""
+    return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
+
+
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    known = toxicity_split(labels.select("doc_id", "toxic").where("toxic IS NOT NULL")).where("NOT held_out").dropDuplicates(["doc_id"])
+    return toxicity.train(docs.select("doc_id", "text").join(known.select("doc_id", "toxic"), "doc_id"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity_model(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity_split(toxicity.score_documents(docs, model))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -55,6 +72,7 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
+    "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

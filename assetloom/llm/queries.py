@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import bpe, exact_dedup, language, packing, toxicity
+from assetloom.llm import bpe, exact_dedup, html_extract, jaccard, language, packing, toxicity
 from assetloom.llm.common import table
 
 
@@ -46,6 +46,14 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_split(found).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def toxicity_split(docs: DataFrame) -> DataFrame:
     """``docs`` with ``held_out``: rows whose labels no toxicity model learns from."""
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
@@ -72,11 +80,33 @@ QUERIES = {
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_language": op4_language,
+    "op5_html": op5_html,
+    "op7_jaccard": op7_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
 SQL = {
+    "op7_jaccard": r"""
+        WITH RECURSIVE listed AS (
+            SELECT doc_id, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+            FROM listed
+        ), grams AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+        ), near AS (
+            SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))
+        ), reach(x, y) AS (
+            SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x
+        )
+        SELECT sets.doc_id, len(s) AS n_shingles, min(reach.y) AS component_id
+        FROM sets JOIN reach ON sets.doc_id = reach.x GROUP BY sets.doc_id, len(s)
+    """,
     "op10_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents

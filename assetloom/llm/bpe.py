@@ -24,12 +24,12 @@ from pyspark.sql import DataFrame
 from assetloom.llm.common import texts
 
 #: Chunks that a worker remembers.
-CACHED = 400_000
+CACHED = 600_000
 #: The pattern that splits a text before the merges; a fixed value of byte-level vocabularies.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond Latin letters, versions of Unicode may class a character differently, so the library splits such chunks itself.
 _UNUSUAL = re.compile("[^\x00-ɏ]")
-_NONE = np.iinfo(np.int64).max
+_NONE = np.iinfo(np.int32).max
 
 
 def byte_characters() -> list[str]:
@@ -52,10 +52,11 @@ class Merger:
         left, right, made = (np.array([self.vocab[f(p)] for p in pairs], np.int64) for f in (lambda p: p[0], lambda p: p[1], "".join))
         keys = left * self.size + right
         order = np.argsort(keys, kind="stable")
-        self.keys, self.ranks, self.made = keys[order], order.astype(np.int64), made[order]
+        self.kind = np.uint32 if self.size < 1 << 16 else np.uint64  # of symbols and of keys, which are below size ** 2
+        self.keys, self.ranks, self.made = keys[order].astype(self.kind), order.astype(np.int32), made[order].astype(self.kind)
         chars = byte_characters()
-        self.inner = np.array([self.vocab[c] for c in chars], np.int64)
-        self.final = np.array([self.vocab[c + self.suffix] for c in chars], np.int64)
+        self.inner = np.array([self.vocab[c] for c in chars], self.kind)
+        self.final = np.array([self.vocab[c + self.suffix] for c in chars], self.kind)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in one array and the offset of each word; no word may be empty."""
@@ -64,7 +65,7 @@ class Merger:
         data = np.frombuffer(b"".join(words), np.uint8)
         symbols = self.inner[data]
         symbols[ends - 1] = self.final[data[ends - 1]]
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words), dtype=np.int32), sizes)
         done_ids, done_words = [], []
         rank, made = self._ranks(symbols, word, np.arange(len(symbols)))
         while len(symbols):
@@ -98,7 +99,7 @@ class Merger:
     def _ranks(self, symbols: np.ndarray, word: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged symbol of the pairs that begin at these places; the largest rank where there is none."""
         after = np.minimum(at + 1, len(symbols) - 1)
-        key = symbols[at] * self.size + symbols[after]
+        key = symbols[at] * self.kind(self.size) + symbols[after]
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         found = (self.keys[place] == key) & (word[at] == word[after]) & (after > at)
         return np.where(found, self.ranks[place], _NONE), self.made[place]
@@ -112,13 +113,12 @@ class ChunkCache:
 
     def look_up(self, chunks: list[str]) -> list[bytes]:
         """The unknown chunks of the list are encoded in one call."""
-        distinct = set(chunks)
-        missing = list(distinct.difference(self.known))
+        missing = list({c for c in chunks if c not in self.known})
         if missing:
             self.known.update(zip(missing, self.encode(missing)))
         found = list(map(self.known.__getitem__, chunks))
         if len(self.known) > CACHED:
-            self.known = self.fixed | {c: self.known[c] for c in distinct}
+            self.known = self.fixed | {c: self.known[c] for c in set(chunks)}
         return found
 
 
@@ -169,8 +169,8 @@ class ByteLevelCodec:
         if not places:
             return [b""] * len(chunks)
         ids, offsets = self.merger.encode([w.encode() for w in places])
-        cut = offsets.tolist()
-        words = [ids[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        cut, whole = (4 * offsets).tolist(), ids.tobytes()
+        words = [whole[a:b] for a, b in zip(cut, cut[1:])]
         return [words[use[a]] if b == a + 1 else b"".join([words[i] for i in use[a:b]]) for a, b in zip(ends, ends[1:])]
 
     def encode(self, documents: list[str]) -> list[bytes]:
@@ -195,26 +195,30 @@ def codec(path: str) -> ByteLevelCodec:
     return ByteLevelCodec(path)
 
 
-def encode_documents(docs: DataFrame, path: str) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, decoded: bool = False) -> DataFrame:
     """``doc_id`` and ``ids`` (array of int) of every row's whole text; null text is empty.
 
     ``path`` names a byte-level vocabulary in JSON form. The ids are those of the
-    library with special tokens recognised in the text but none added. One row per
+    library with special tokens recognised in the text but none added. With
+    ``decoded`` a column ``text`` holds what the ids decode to. One row per
     row, repeated rows and null ids included; other columns are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path)
         for batch in batches:
-            found, ids = texts(batch.column("text")), batch.column("doc_id")
+            found, doc_ids = texts(batch.column("text")), batch.column("doc_id")
             for lo, hi in _parts([len(t) for t in found]):
                 encoded = own.encode(found[lo:hi])
                 ends = np.concatenate([[0], np.cumsum([len(x) // 4 for x in encoded])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(encoded), np.int32))
-                yield pa.RecordBatch.from_arrays([ids[lo:hi], pa.ListArray.from_arrays(pa.array(ends), values)], ["doc_id", "ids"])
+                ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(encoded), np.int32)))
+                columns = [doc_ids[lo:hi], ids]
+                if decoded:
+                    columns.append(pa.array([own.decode(np.frombuffer(x, np.int32).tolist()) for x in encoded], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "text"][: len(columns)])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, ids array<int>" + ", text string" * decoded)
 
 
 def decode_documents(encoded: DataFrame, path: str) -> DataFrame:

@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +43,7 @@ class WordTokenizer:
     """Ids of texts for a vocabulary of words with end marks, as the library gives them with no special tokens added."""
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.merger, self.library = Merger(path), Tokenizer.from_file(path)
+        self.merger, self.path, self.library = Merger(path), path, None
         with open(path, encoding="utf-8") as f:
             special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = re.compile("|".join(map(re.escape, special)) if special else r"(?!)")
@@ -55,30 +54,45 @@ class WordTokenizer:
         places: dict[str, int] = {}
         use, ends = [], [0]
         for chunk in chunks:
-            use += [places.setdefault(w, len(places)) for w in ([chunk] if chunk.isalpha() else self.pattern.findall(chunk))]
+            if chunk.isalpha():
+                use.append(places.setdefault(chunk, len(places)))
+            else:
+                stem = chunk[:-1]
+                found = [stem, chunk[-1]] if chunk[-1:] in (".", ",") and stem.isalpha() else self.pattern.findall(chunk)
+                use += [places.setdefault(w, len(places)) for w in found]
             ends.append(len(use))
         if not places:
             return [b""] * len(chunks)
         ids, offsets = self.merger.encode([w.encode() for w in places])
-        cuts = offsets.tolist()
-        words = [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+        cuts, all_ids = (4 * offsets).tolist(), ids.tobytes()
+        words = [all_ids[a:b] for a, b in zip(cuts, cuts[1:])]
         return [words[use[a]] if b == a + 1 else b"".join([words[i] for i in use[a:b]]) for a, b in zip(ends, ends[1:])]
 
+    def _whole(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(self.path)
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
+
     def encode(self, documents: list[str]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers.
 
-        Latin texts are lower-cased and cut at white space, and equal parts are
-        encoded once; texts with other characters or special tokens go to the library whole.
+        Latin texts are lower-cased and cut at white space, and their distinct parts are
+        looked up; texts with other characters or special tokens go to the library whole.
         """
-        chunks, ends, whole = [], [0], {}
-        for i, text in enumerate(documents):
-            if _UNUSUAL.search(text) or self.special.search(text):
-                whole[i] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32).tobytes()
-            else:
-                chunks += text.lower().split()
-            ends.append(len(chunks))
-        found = self.cache.look_up(chunks)
-        return [whole[i] if i in whole else b"".join(found[a:b]) for i, (a, b) in enumerate(zip(ends, ends[1:]))]
+        whole = {i: self._whole(t) for i, t in enumerate(documents) if _UNUSUAL.search(t) or self.special.search(t)}
+        split = pc.ascii_split_whitespace(pa.array(["" if i in whole else t.lower() for i, t in enumerate(documents)], pa.large_string()))
+        parts = split.values.dictionary_encode()
+        found = self.cache.look_up(parts.dictionary.to_numpy(zero_copy_only=False).tolist())
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        ids = np.frombuffer(b"".join(found), np.int32)
+        part = parts.indices.to_numpy()
+        own, starts = sizes[part], (np.cumsum(sizes) - sizes)[part]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        tokens = ids[np.repeat(starts - ends[:-1], own) + np.arange(ends[-1])].tobytes()
+        cuts = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [whole[i] if i in whole else tokens[a:b] for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
 
 @lru_cache(4)
@@ -100,7 +114,7 @@ def token_pieces(docs: DataFrame, path: str, limit: int, end_id: int, with_ids:
         own = tokenizer(path)
         for batch in batches:
             found, doc_ids = texts(batch.column("text")), batch.column("doc_id")
-            for lo, hi in _parts([len(t) for t in found]):
+            for lo, hi in _parts([len(t) for t in found], 8 << 20):
                 rows, piece, start, length, crc, ids = [], [], [], [], [], []
                 for row, encoded in enumerate(own.encode(found[lo:hi]), lo):
                     encoded += end

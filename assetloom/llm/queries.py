@@ -6,13 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import bpe, exact_dedup, html_extract, jaccard, language, packing, toxicity
+from assetloom.llm import ann, bpe, exact_dedup, html_extract, jaccard, language, packing, toxicity
 from assetloom.llm.common import table
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path), path)
+    coded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, decoded=True)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
@@ -50,6 +50,10 @@ def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
@@ -81,6 +85,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_language": op4_language,
     "op5_html": op5_html,
+    "op6_ann": op6_ann,
     "op7_jaccard": op7_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,

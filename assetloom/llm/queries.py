@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import ann, bpe, exact_dedup, html_extract, jaccard, language, packing, toxicity
+from assetloom.llm import ann, bpe, exact_dedup, html_extract, jaccard, language, line_dedup, packing, toxicity
 from assetloom.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_similar_lines(table(spark, sf_dir, "documents"), percent=80)
+
+
 def toxicity_split(docs: DataFrame) -> DataFrame:
     """``docs`` with ``held_out``: rows whose labels no toxicity model learns from."""
     return docs.withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)))
@@ -87,6 +91,7 @@ QUERIES = {
     "op5_html": op5_html,
     "op6_ann": op6_ann,
     "op7_jaccard": op7_jaccard,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
@@ -112,6 +117,38 @@ SQL = {
         SELECT sets.doc_id, len(s) AS n_shingles, min(reach.y) AS component_id
         FROM sets JOIN reach ON sets.doc_id = reach.x GROUP BY sets.doc_id, len(s)
     """,
+    "op8_line_dedup": r"""
+        WITH split AS (
+            SELECT doc_id, str_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL
+        ), lines AS (
+            SELECT doc_id, unnest(range(len(parts))) AS line_no, unnest(parts) AS line FROM split
+        ), sets AS (
+            SELECT doc_id, line_no, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) AS tokens FROM lines
+        ), distinct_sets AS (
+            SELECT tokens, row_number() OVER (ORDER BY min((doc_id, line_no))) AS place, len(tokens) AS n, min((doc_id, line_no)) AS first
+            FROM sets WHERE len(tokens) > 0 GROUP BY tokens
+        ), counted AS (
+            SELECT token, count(*) AS uses FROM (SELECT unnest(tokens) AS token FROM distinct_sets) GROUP BY token
+        ), ranked AS (
+            SELECT place, n, token, row_number() OVER (PARTITION BY place ORDER BY uses, token) AS spot
+            FROM (SELECT place, n, unnest(tokens) AS token FROM distinct_sets) JOIN counted USING (token)
+        ), prefixes AS (
+            SELECT place, n, token FROM ranked WHERE spot <= n - (80 * n + 99) // 100 + 1
+        ), candidates AS (
+            SELECT DISTINCT a.place AS x, b.place AS y FROM prefixes a JOIN prefixes b ON a.token = b.token AND a.place < b.place
+            WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+        ), later AS (
+            SELECT DISTINCT y FROM candidates JOIN distinct_sets a ON a.place = x JOIN distinct_sets b ON b.place = y
+            WHERE 180 * len(list_intersect(a.tokens, b.tokens)) >= 80 * (a.n + b.n)
+        ), judged AS (
+            SELECT doc_id, line_no, line, sets.tokens IS NOT NULL AND coalesce((doc_id, line_no) > first OR y IS NOT NULL, false) AS gone
+            FROM lines JOIN sets USING (doc_id, line_no) LEFT JOIN distinct_sets ON sets.tokens = distinct_sets.tokens LEFT JOIN later ON y = place
+        )
+        SELECT documents.doc_id, count(line) AS n_lines, count(*) FILTER (gone) AS n_removed,
+               CASE WHEN any_value(text) IS NULL THEN NULL
+                    ELSE coalesce(string_agg(line, chr(10) ORDER BY line_no) FILTER (NOT gone), '') END AS text
+        FROM documents LEFT JOIN judged ON documents.doc_id = judged.doc_id GROUP BY documents.doc_id
+    """,
     "op10_exact_dedup": r"""
         WITH rows AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents

@@ -6,10 +6,23 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import ann, bpe, exact_dedup, html_extract, jaccard, language, line_dedup, packing, toxicity
+from assetloom.llm import ann, bpe, exact_dedup, html_extract, jaccard, language, line_dedup, packing, token_counts, toxicity
 from assetloom.llm.common import table
 
 
+def word_pieces() -> list[str]:
+    """The ordinary pieces of the public word-piece vocabulary."""
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    special = [model.is_control, model.is_unknown, model.is_byte, model.is_unused]
+    return [model.id_to_piece(i) for i in range(model.get_piece_size()) if not any(f(i) for f in special)]
+
+
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), word_pieces())
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.encode_documents(table(spark, sf_dir, "documents"), path, decoded=True)
@@ -85,6 +98,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
     "op3_packing": op3_packing,
     "op4_language": op4_language,

@@ -51,12 +51,12 @@ def normalise_date(c: Column) -> Column:
 
 
 def iso_to_utc_date(c: Column) -> Column:
-    """ISO-8601 text to its UTC date; else the date in the first ten characters; else null."""
+    """ISO-8601 text to its UTC date whatever the session's zone; else the date in the first ten characters; else null."""
     text = c.cast("string")
-    moment = F.when(text.rlike(_ISO), F.try_to_timestamp(text))
+    zoned = F.when(text.rlike(_ISO) & text.rlike(r"(Z|[+-]\d{2}:\d{2}(:\d{2})?)$"), F.try_to_timestamp(text))
     head = F.substring(text, 1, 10)
     day = F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), head.try_cast("date"))
-    return F.coalesce(date_text(moment), date_text(day))
+    return F.coalesce(date_text(F.to_utc_timestamp(zoned, F.current_timezone())), date_text(day))
 
 
 def whole_days(later: Column, earlier: Column) -> Column:
@@ -80,14 +80,6 @@ def map_value(c: Column, mapping: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), c), c) if pairs else c
 
 
-def json_text(c: Column) -> Column:
-    return F.to_json(c)
-
-
-def round2(c: Column) -> Column:
-    return F.bround(c, 2)
-
-
 def whole_text(c: Column) -> Column:
     """A float without decimals, halves to even; null gives ``''``."""
     clean = F.when(~F.isnan(c), c)

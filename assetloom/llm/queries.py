@@ -81,8 +81,7 @@ def toxicity_split(docs: DataFrame) -> DataFrame:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
-    known = toxicity_split(labels.select("doc_id", "toxic").where("toxic IS NOT NULL")).where("NOT held_out").dropDuplicates(["doc_id"])
-    return toxicity.train(docs.select("doc_id", "text").join(known.select("doc_id", "toxic"), "doc_id"))
+    return toxicity.train(docs, toxicity_split(labels.select("doc_id", "toxic")).where("NOT held_out"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.functions.text import clean_quotes, json_dict, match_key, or_literal
+from assetloom.functions.text import json_dict, match_key, or_literal
 from assetloom.functions.values import normalise_date, to_count, to_long, to_time
 
 # Columns typed as whole numbers and as text after each file read.
@@ -19,7 +19,6 @@ INT_COLUMNS_MATCHING = INT_COLUMNS + ["vendor"]
 INT_COLUMNS_LINKING = INT_COLUMNS + ["vendor", "purchase_assignment"]
 DATE_COLUMNS = ["created_at", "updated_at", "acquisition_date", "warranty_expiry_date"]
 
-MAX_FLATTENED = 10_000
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -52,12 +51,17 @@ def with_bag(df: DataFrame, column: str, out: str) -> DataFrame:
 
 
 def bag_keys(df: DataFrame, column: str = "type_fields") -> list[str]:
-    """The distinct attribute names over all rows (one action; the names become columns)."""
+    """The distinct attribute names over all rows (one action; the names become columns).
+
+    Where names are not a small vocabulary, use ``bag_rows``, which needs no list of them.
+    """
     names = with_bag(df.select(col(column)), column, "_bag").select(F.explode(F.map_keys("_bag")).alias("k")).distinct()
-    found = [r.k for r in names.limit(MAX_FLATTENED + 1).collect()]
-    if len(found) > MAX_FLATTENED:
-        raise ValueError(f"more than {MAX_FLATTENED} attribute names in {column}")
-    return sorted(found)
+    return sorted(r.k for r in names.collect())
+
+
+def bag_rows(df: DataFrame, key: str, column: str = "type_fields") -> DataFrame:
+    """The attributes in long form, ``(key, attribute, value)``, for any number of names."""
+    return with_bag(df.select(col(key), col(column)), column, "_bag").select(col(key), F.explode("_bag").alias("attribute", "value"))
 
 
 def flatten_bag(df: DataFrame, column: str = "type_fields", keys: list[str] | None = None) -> DataFrame:
@@ -87,7 +91,11 @@ def strip_suffixes(df: DataFrame) -> DataFrame:
 
 
 def consolidate(df: DataFrame, base: str, method: str = "sum") -> DataFrame:
-    """Fold ``base``, ``base.1``, … into ``base`` by ``sum``, ``max`` or ``first_non_null``."""
+    """Fold ``base``, ``base.1``, … into ``base`` by ``sum``, ``max`` or ``first_non_null``.
+
+    ``max`` compares numbers. Columns out of an attribute bag are text; they count as numbers
+    if every value of the first one is a number, which takes one small action to find out.
+    """
     if method not in ("sum", "max", "first_non_null"):
         raise ValueError(f"unsupported method: {method}")
     pattern = re.compile(rf"^{re.escape(base)}(?:\.\d+)?$")
@@ -100,6 +108,8 @@ def consolidate(df: DataFrame, base: str, method: str = "sum") -> DataFrame:
         value = F.when(F.coalesce(*cols).isNotNull(), total)
     elif method == "max" and isinstance(df.schema[names[0]].dataType, NUMERIC):
         value = F.greatest(*cols)
+    elif method == "max" and df.agg(F.bool_and(cols[0].isNull() | cols[0].cast("string").try_cast("double").isNotNull())).first()[0]:
+        value = F.greatest(*[c.cast("string").try_cast("double") for c in cols])
     else:
         value = F.coalesce(*cols)
     if base in names:
@@ -125,11 +135,6 @@ def format_dates(df: DataFrame, columns: list[str] = DATE_COLUMNS) -> DataFrame:
     return df.withColumns(typed) if typed else df
 
 
-def strip_quotes(df: DataFrame, columns: list[str]) -> DataFrame:
-    typed = {c: clean_quotes(col(c)) for c in columns if c in df.columns}
-    return df.withColumns(typed) if typed else df
-
-
 def name_asset_id(df: DataFrame) -> DataFrame:
     return df.withColumnRenamed("id", "asset_id")
 

@@ -9,6 +9,7 @@ from assetloom.functions.values import date_text
 from assetloom.operators.columns import in_stock
 from assetloom.operators.ranking import dense_ids
 from assetloom.operators.search import EXACT, Rule, nearest
+from assetloom.session import cut
 
 # Score thresholds of the automatic and the interactive path.
 AUTO_THRESHOLD = 50.0
@@ -54,22 +55,35 @@ def first_match(assets: DataFrame, purchases: DataFrame, threshold: float = AUTO
 
 
 def rank_candidates(
-    assets: DataFrame, purchases: DataFrame, page_size: int, page: int = 0, threshold: float = REVIEW_THRESHOLD
+    assets: DataFrame,
+    purchases: DataFrame,
+    page_size: int,
+    page: int = 0,
+    threshold: float = REVIEW_THRESHOLD,
+    after: DataFrame | None = None,
 ) -> DataFrame:
     """One page of every asset's candidate list, as a reviewer sees it.
 
     Exact candidates (same vendor and product) come first by day gap, then the
-    others scoring above ``threshold`` by score and day gap; a purchase must be
-    in stock and not later than the asset. Page 0 holds ranks 1..page_size; the
-    next page continues the same list, so nothing is cut off.
+    others scoring above ``threshold`` by score and day gap, equal ones by purchase;
+    a purchase must be in stock and not later than the asset. Page 0 holds ranks
+    1..page_size; the next page continues the same list without end. ``after`` is
+    the page before, as this function returned it: the search then goes on behind
+    its last rows instead of finding the earlier pages again (``page`` counts from it).
+    Assets with the same texts and date are searched once; a row whose id repeats
+    has a list of its own.
     """
-    last = (page + 1) * page_size
-    queries = assets.where(F.col("created_at").isNotNull()).select(
-        F.col("asset_id").alias("qid"),
-        F.col("composite_index").alias("qtext"),
-        pair_key(F.col("product_name_lower"), F.col("vendor_name_lower")).alias("q_key"),
-        F.unix_micros("created_at").alias("q_at"),
+    query_key = pair_key(F.col("product_name_lower"), F.col("vendor_name_lower"))
+    asked = assets.where(F.col("created_at").isNotNull()).select(
+        "asset_id", F.col("composite_index").alias("qtext"), query_key.alias("q_key"), F.unix_micros("created_at").alias("q_at")
     )
+    same = ["qtext", "q_key", "q_at"]
+    if after is not None:
+        score = F.when(F.col("kind") == "exact", F.lit(EXACT)).otherwise(F.col("fuzzy_score"))
+        end = F.max_by(F.struct(score.alias("q_score"), F.col("date_discrepancy").alias("q_gap"), F.col("purchase_id").alias("q_pos"), "rank"), "rank")
+        asked = asked.join(after.groupBy("asset_id").agg(end.alias("end")), "asset_id").select("asset_id", *same, "end.*")
+        same = [*same, "q_score", "q_gap", "q_pos", "rank"]
+    queries = cut(dense_ids(asked.select(*same).distinct(), [F.col(c) for c in same], "qid", unique=True), "asked")
     targets = in_stock(purchases).where(F.col("date").isNotNull()).select(
         F.col("purchase_id").alias("tid"),
         F.col("purchase_id").alias("tpos"),
@@ -77,19 +91,20 @@ def rank_candidates(
         pair_key(F.col("item_lower"), F.col("vendor_lower")).alias("t_key"),
         F.unix_micros("date").alias("t_at"),
     )
-    hits = nearest(queries, targets, Rule(threshold, rounded=True, keyed=True), last)
+    hits = nearest(queries.drop("rank"), targets, Rule(threshold, rounded=True, keyed=True), (page + 1) * page_size)
     order = Window.partitionBy("qid").orderBy(F.desc("score"), F.asc("gap"), F.asc("tpos"))
     exact = F.col("score") == EXACT
+    earlier = F.col("rank") if after is not None else F.lit(0)
+    listed = hits.withColumn("_place", F.row_number().over(order)).where(F.col("_place") > page * page_size)
     return (
-        hits.withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") > page * page_size)
+        asked.join(queries, same).join(listed, "qid")
         .select(
-            F.col("qid").alias("asset_id"),
+            "asset_id",
             F.col("tid").alias("purchase_id"),
             F.when(exact, F.lit("exact")).otherwise(F.lit("fuzzy")).alias("kind"),
             F.when(~exact, F.col("score")).alias("fuzzy_score"),
             F.col("gap").alias("date_discrepancy"),
-            F.col("rank").cast("bigint").alias("rank"),
+            (earlier + F.col("_place")).cast("bigint").alias("rank"),
         )
     )
 

@@ -31,16 +31,14 @@ from assetloom.session import cut
 
 EXACT = 1000.0  # ranks above every score
 NEVER = int(np.iinfo(np.int64).max)
-MAX_SHARDS = 65_536
 SHARD_ROWS = (256, 16_384)
 CHUNK_ROWS = (256, 8_192)
 GROUP_CHARS = 256_000_000
 MATRIX_CELLS = 2_000_000
-WINDOW_K = 1_000
 HIT_SCHEMA = "qid BIGINT, tid BIGINT, tpos BIGINT, score DOUBLE, gap BIGINT"
 
 # Optional columns and the value that makes each of them inert.
-QUERY_DEFAULTS = {"q_key": None, "q_at": 0, "q_min": 0, "q_score": math.inf, "q_pos": -1}
+QUERY_DEFAULTS = {"q_key": None, "q_at": 0, "q_min": 0, "q_score": math.inf, "q_gap": 0, "q_pos": -1}
 TARGET_DEFAULTS = {"t_key": None, "t_at": 0, "t_cut": NEVER}
 
 
@@ -84,7 +82,7 @@ def build_index(targets: DataFrame, rule: Rule, least_rows: int = 1) -> Index |
     if not size.n:
         return None
     rows = _group_rows(size.n, 4 * spark.sparkContext.defaultParallelism, SHARD_ROWS, size.chars)
-    rows = max(rows, -(-size.n // MAX_SHARDS), min(least_rows, SHARD_ROWS[1]))
+    rows = max(rows, min(least_rows, SHARD_ROWS[1]))
     shards = numbered.withColumn("shard", F.floor((F.col("_no") - 1) / rows).cast("int")).drop("_no")
     return Index(shards, spark.sparkContext.broadcast(_directory(shards)), rule)
 
@@ -99,7 +97,7 @@ def nearest(
     high to low, then ``gap`` (whole days from ``t_at`` to ``q_at``), then
     ``tpos``. Targets with ``t_at > q_at`` are no match, nor are those that
     ``closed`` gives a ``t_cut`` below ``q_min``, nor those at or before the
-    place ``(q_score, q_pos)`` in the order. With ``k=None`` each query brings
+    place ``(q_score, q_gap, q_pos)`` in the order. With ``k=None`` each query brings
     its own ``want`` and the hits come back uncut: every hit up to its
     ``want``-th is there, and possibly later ones.
     """
@@ -117,20 +115,17 @@ def nearest(
         shards = shards.withColumn("t_cut", F.coalesce("t_cut", F.lit(NEVER)))
     chunk = _group_rows(asked.n, 2 * spark.sparkContext.defaultParallelism, CHUNK_ROWS, asked.chars)
 
-    routed_schema = queries.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", least double, least_sec bigint, shard int"
-    unbounded = queries.withColumns({"least": F.lit(-1.0), "least_sec": F.lit(NEVER)})
+    routed_schema = queries.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", least double, least_gap bigint, least_pos bigint, shard int"
+    unbounded = queries.withColumns({"least": F.lit(-1.0), "least_gap": F.lit(NEVER), "least_pos": F.lit(NEVER)})
     home = unbounded.mapInPandas(lambda it: _routes(it, directory.value, rule, True), routed_schema)
     first = cut(_visit(home, shards, rule, chunk), "home")
 
-    sec = "gap" if rule.keyed else "tpos"
-    worst = F.max(F.struct(-F.col("score"), F.col(sec))).alias("worst")
-    filled = first.groupBy("qid").agg(F.count("*").alias("found"), worst)
-    bounded = queries.join(filled, "qid", "left").withColumns(
-        {
-            "least": F.when(F.col("found") >= F.col("want"), -F.col("worst.col1")).otherwise(F.lit(-1.0)),
-            "least_sec": F.when(F.col("found") >= F.col("want"), F.col(f"worst.{sec}")).otherwise(F.lit(NEVER)),
-        }
-    ).drop("found", "worst")
+    # Visits to two or three shards may find more than wanted; the last place that counts is the want-th.
+    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "gap", "tpos"))
+    bar = first.withColumn("_place", place).join(queries.select("qid", "want"), "qid").where(F.col("_place") == F.col("want"))
+    bar = bar.select("qid", F.col("score").alias("least"), F.col("gap").alias("least_gap"), F.col("tpos").alias("least_pos"))
+    open_ended = {"least": F.lit(-1.0), "least_gap": F.lit(NEVER), "least_pos": F.lit(NEVER)}
+    bounded = queries.join(bar, "qid", "left").withColumns({c: F.coalesce(c, v) for c, v in open_ended.items()})
     away = bounded.mapInPandas(lambda it: _routes(it, directory.value, rule, False), routed_schema)
     hits = first.unionByName(_visit(away, shards, rule, chunk))
     return hits if k is None else _best(hits, k)
@@ -158,8 +153,6 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
     if k == 1:
         best = hits.groupBy("qid").agg(F.min_by(F.struct("tid", "tpos", "score", "gap"), order).alias("b"))
         return best.select("qid", "b.*")
-    if k > WINDOW_K:
-        raise ValueError(f"k above {WINDOW_K}: give each query a want and cut the hits at scale")
     place = F.row_number().over(Window.partitionBy("qid").orderBy(order))
     return hits.withColumn("_place", place).where(F.col("_place") <= k).drop("_place")
 
@@ -181,7 +174,7 @@ def _shard_entry(t: pd.DataFrame) -> pd.DataFrame:
             "min_len": [texts.lengths.min()],
             "max_len": [texts.lengths.max()],
             "counts": [texts.class_counts().max(axis=0)],
-            "first_text": [t["ttext"].min()[:64]],
+            "first_text": [t["ttext"].min()],
             "first_key": [first["t_key"]],
             "last_key": [t["t_key"].max() if t["t_key"].notna().any() else None],
             "first_at": [first["t_at"]],
@@ -193,7 +186,7 @@ def _shard_entry(t: pd.DataFrame) -> pd.DataFrame:
 
 
 def _directory(shards: DataFrame) -> pd.DataFrame:
-    """One row per shard (at most MAX_SHARDS rows, so it fits on the driver), in shard order."""
+    """One row per shard of up to 16,384 targets, in shard order."""
     entries = shards.groupBy("shard").applyInPandas(_shard_entry, _DIRECTORY_SCHEMA)
     return pd.DataFrame([r.asDict() for r in entries.collect()]).sort_values("shard", ignore_index=True)
 
@@ -202,20 +195,19 @@ def _directory(shards: DataFrame) -> pd.DataFrame:
 
 
 def _home_shards(q: pd.DataFrame, d: pd.DataFrame, rule: Rule) -> np.ndarray:
-    """For each query a (first, last) range of at most two shards."""
+    """For each query the shards that it visits first (three columns, which may repeat a shard)."""
     if not rule.keyed:
         spot = np.searchsorted(d["first_text"].to_numpy(dtype=object), q["qtext"].to_numpy(dtype=object), side="right")
-        home = np.maximum(spot - 1, 0)
-        return np.stack([home, home], axis=1)
+        return np.repeat(np.maximum(spot - 1, 0)[:, None], 3, axis=1)
     starts = list(zip(d["first_key"], d["first_at"]))
-    last_keys = d["last_key"].to_numpy(dtype=object)
-    out = np.zeros((len(q), 2), dtype=np.int64)
+    last_keys = d["last_key"].tolist()
+    out = np.zeros((len(q), 3), dtype=np.int64)
     for i, (key, at) in enumerate(zip(q["q_key"], q["q_at"])):
+        # The latest targets of this key up to this date end in ``home``; where many share a date, the
+        # first of them stand at the beginning of the key.
         home = max(bisect.bisect_right(starts, (key, at)) - 1, 0)
-        # The latest targets of this key up to this date end here; a shard holds at least k rows,
-        # so they start here or in the shard before.
         before = home - 1 if home > 0 and last_keys[home - 1] == key else home
-        out[i] = before, home
+        out[i] = before, home, min(bisect.bisect_left(last_keys, key), home)
     return out
 
 
@@ -223,14 +215,14 @@ def _routes(batches, d: pd.DataFrame, rule: Rule, at_home: bool):
     counts = np.stack(d["counts"].to_numpy()).astype(np.int32)
     min_len, max_len = d["min_len"].to_numpy(np.int64), d["max_len"].to_numpy(np.int64)
     min_at, max_at = d["min_at"].to_numpy(np.int64), d["max_at"].to_numpy(np.int64)
-    min_pos = d["min_pos"].to_numpy(np.int64)
+    min_pos = d["min_pos"].to_numpy(np.int64)[None, :]
     shard_ids = np.arange(len(d))
+    first_keys, last_keys = d["first_key"].tolist(), d["last_key"].tolist()
     for q in batches:
         homes = _home_shards(q, d, rule)
         if at_home:
-            pick = np.concatenate([np.arange(len(q)), np.flatnonzero(homes[:, 0] != homes[:, 1])])
-            shard = np.concatenate([homes[:, 1], homes[homes[:, 0] != homes[:, 1], 0]])
-            yield q.iloc[pick].assign(shard=shard.astype(np.int32))
+            pairs = np.unique(np.stack([np.repeat(np.arange(len(q)), 3), homes.ravel()], 1), axis=0)
+            yield q.iloc[pairs[:, 0]].assign(shard=pairs[:, 1].astype(np.int32))
             continue
         step = max(1, MATRIX_CELLS // len(d))
         for at in range(0, len(q), step):
@@ -241,15 +233,17 @@ def _routes(batches, d: pd.DataFrame, rule: Rule, at_home: bool):
                 rule.scorer, overlap_matrix(texts.class_counts(), counts), texts.lengths[:, None], min_len[None, :], max_len[None, :]
             )
             bound = (np.round(bound, 2) if rule.rounded else bound)[code]
-            least, sec = part["least"].to_numpy()[:, None], part["least_sec"].to_numpy(np.int64)[:, None]
             q_at = part["q_at"].to_numpy(np.int64)[:, None]
+            gap = np.zeros((1, 1), np.int64)
             if rule.keyed:
-                nearest_sec = np.where(max_at[None, :] <= q_at, (q_at - max_at[None, :]) // DAY_MICROS, 0)
-            else:
-                nearest_sec = min_pos[None, :]
-            go = rule.clears(bound) & ((bound > least) | ((bound == least) & (nearest_sec <= sec)))
-            go &= min_at[None, :] <= q_at
-            go &= ~((shard_ids[None, :] >= home[:, :1]) & (shard_ids[None, :] <= home[:, 1:]))
+                first = np.array([bisect.bisect_left(last_keys, key) for key in part["q_key"]])[:, None]
+                last = np.array([bisect.bisect_right(first_keys, key) for key in part["q_key"]])[:, None]
+                bound = np.where((shard_ids >= first) & (shard_ids < last), EXACT, bound)
+                gap = np.where(max_at[None, :] <= q_at, (q_at - max_at[None, :]) // DAY_MICROS, 0)
+            least, least_gap, least_pos = (part[c].to_numpy()[:, None] for c in ("least", "least_gap", "least_pos"))
+            sooner = (gap < least_gap) | ((gap == least_gap) & (min_pos < least_pos))
+            go = rule.clears(bound) & ((bound > least) | ((bound == least) & sooner)) & (min_at[None, :] <= q_at)
+            np.put_along_axis(go, home, False, axis=1)
             rows, shard = np.nonzero(go)
             yield part.iloc[rows].assign(shard=shard.astype(np.int32))
 
@@ -308,7 +302,7 @@ def score_group(q: pd.DataFrame, t: pd.DataFrame, rule: Rule) -> pd.DataFrame:
         "cut": t["t_cut"].to_numpy(np.int64),
     }
     q_side = {"key": key_codes[: len(q)], "least": q["least"].to_numpy(), "want": q["want"].to_numpy(np.int64)}
-    q_side |= {c: q[c].to_numpy() for c in ("q_at", "q_min", "q_score", "q_pos")}
+    q_side |= {c: q[c].to_numpy() for c in ("q_at", "q_min", "q_score", "q_gap", "q_pos")}
     # Without per-row conditions, every target of a text is open to its queries and scores can raise the bar.
     open_targets = not rule.keyed and np.isinf(q_side["q_score"]).all() and (t_side["cut"] == NEVER).all()
     wanted = int(q_side["want"].max())
@@ -349,7 +343,7 @@ def _block_scores(q_texts, t_texts, q_counts, t_counts, block, least, rule, want
         scores[rows, cols] = np.round(got, 2) if rule.rounded else got
 
     possible = bound >= least[:, None]
-    seeds = min(wanted + 3, bound.shape[1]) if 0 < wanted <= 8 else 0
+    seeds = min(wanted + 3, bound.shape[1]) if wanted else 0
     if seeds and bound.shape[1] > 2 * seeds:
         # Score the most promising targets first: the k-th of them is the bar for the others.
         top = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
@@ -372,7 +366,9 @@ def _pick(rows, scores, q, t, rule):
     ok = (t["at"][None, :] <= q_at) & (t["cut"][None, :] >= q["q_min"][rows][:, None])
     cursor = q["q_score"][rows][:, None]
     if np.isfinite(cursor).any():
-        ok &= (s < cursor) | ((s == cursor) & (t["pos"][None, :] > q["q_pos"][rows][:, None]))
+        gap, last_gap = (q_at - t["at"][None, :]) // DAY_MICROS, q["q_gap"][rows][:, None]
+        behind = (gap > last_gap) | ((gap == last_gap) & (t["pos"][None, :] > q["q_pos"][rows][:, None]))
+        ok &= (s < cursor) | ((s == cursor) & behind)
     s = np.where(ok & (s >= q["least"][rows][:, None]), s, -1.0)
     want = np.minimum(q["want"][rows], s.shape[1])
     if want.max() == 1:

@@ -4,18 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.text import address_line
-from assetloom.functions.values import before_dot, id_text, iso_to_utc_date, map_value
+from assetloom.functions.values import before_dot, id_text, iso_to_utc_date
 from assetloom.operators.columns import as_long
 
-# Select options the employee table accepts, by incoming value.
-STATUS_OPTIONS = {"Active": "Active", "Inactive": "Inactive", "On Leave": "On Leave"}
-EMPLOYEE_TYPE_OPTIONS = {"Full-Time": "Full-Time", "Part-Time": "Part-Time", "Contractor": "Contractor"}
-
-
 def asset_type_fields() -> dict[str, Column]:
     return {"name": F.col("name"), "asset_type_id": F.col("id").cast("string"), "note": F.col("description")}
 
@@ -45,8 +40,8 @@ def employee_fields() -> dict[str, Column]:
         "first_name": F.col("first_name"),
         "last_name": F.col("last_name"),
         "work_email": F.col("work_email"),
-        "status": map_value(F.col("status"), STATUS_OPTIONS),
-        "employee_type": map_value(F.col("employee_type"), EMPLOYEE_TYPE_OPTIONS),
+        "status": F.col("status"),
+        "employee_type": F.col("employee_type"),
         "title": F.col("title"),
         "position_start_date": F.col("position_start_date"),
         "termination_date": F.col("termination_date"),
@@ -128,26 +123,24 @@ def upsert(
     if target is None:
         return fresh
     patch_columns = [c for c in fresh.columns if c != key]
-    patch = fresh.select(key, F.struct(*patch_columns).alias("_patch"))
-    columns = list(dict.fromkeys([*target.columns, *fresh.columns]))
-    stored = target
-    for f in fresh.schema.fields:
-        if f.name not in target.columns:
-            stored = stored.withColumn(f.name, F.lit(None).cast(f.dataType))
-    joined = stored.join(patch, key, "left")
+    patch = fresh.select(F.col(key).alias("_key"), F.struct(F.lit(True).alias("_hit"), *patch_columns).alias("_patch"))
+    joined = target.withColumn("_stored", F.lit(True)).join(patch, F.col(key) == F.col("_key"), "full_outer")
     hit = F.col("_patch").isNotNull()
     if record is not None:
-        first = target.groupBy(key).agg(F.min(record).alias("_first"))
-        joined = joined.join(first, key, "left")
-        hit = hit & (F.col(record) == F.col("_first"))
-
-    def patched(c: str) -> Column:
+        first = F.min(record).over(Window.partitionBy(key))
+        hit = hit & (F.col("_stored").isNull() | (F.col(record) == first))
+
+    def value(c: str) -> Column:
+        if c == key:
+            return F.coalesce(key, "_key").alias(c)
+        if c not in patch_columns:
+            return F.col(c)
         new = F.col(f"_patch.{c}")
+        if c not in target.columns:
+            return F.when(hit, new).alias(c)
         return F.when(hit, new if clear_nulls else F.coalesce(new, F.col(c))).otherwise(F.col(c)).alias(c)
 
-    updated = joined.select(*[patched(c) if c in patch_columns else F.col(c) for c in columns])
-    inserted = fresh.join(target.select(key).distinct(), key, "left_anti")
-    return updated.unionByName(inserted, allowMissingColumns=True)
+    return joined.select(*[value(c) for c in dict.fromkeys([*target.columns, *fresh.columns])])
 
 
 def push_entity(name: str, target: DataFrame | None, source: DataFrame, order: str, record: str | None = None) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.operators import assignments as A
 from assetloom.operators import sync, views
 from assetloom.plans import reconcile
+from assetloom.plans.matching_queries import AUTO_SQL
 from assetloom.plans.roles import event_assets, event_log, event_purchases, order_assets, table
 
 QUERIES, SQL = {}, {}
@@ -321,13 +325,12 @@ def purchase_devices(spark, sf_dir):
     return views.purchase_devices(serials, table(spark, sf_dir, "customer").selectExpr("c_name AS name"))
 
 
-@query("reconcile_all")
-def reconcile_all(spark, sf_dir):
-    """Parts as assets and purchases, customers as staff, through every stage; one row per linked asset."""
+def _outcome(spark, sf_dir):
+    """Parts as assets and purchases, customers as staff, through every stage; memory comes as two attributes."""
     parts = table(spark, sf_dir, "part")
     bag = F.concat(
         F.lit("{'vendor_1': "), F.regexp_extract("p_brand", r"(\d+)", 1), F.lit(", 'product_2': "), F.col("p_partkey").cast("string"),
-        F.lit(", 'hostname_3': None, 'memory_4': "), F.col("p_size").cast("string"), F.lit("}"),
+        F.lit(", 'hostname_3': None, 'memory_4': "), F.col("p_size").cast("string"), F.lit(", 'memory_5': "), (F.col("p_size") + 1).cast("string"), F.lit("}"),
     )
     assets = parts.select(
         F.col("p_partkey").alias("id"), F.col("p_partkey").alias("display_id"), F.col("p_name").alias("name"), F.col("p_type").alias("description"),
@@ -356,5 +359,62 @@ def reconcile_all(spark, sf_dir):
         "asset_types": table(spark, sf_dir, "region").selectExpr("CAST(r_regionkey AS BIGINT) AS id", "r_name AS name", "r_name AS description", "CAST(NULL AS STRING) AS parent_asset_type_id"),
         "products": parts.selectExpr("p_partkey AS id", "p_name AS name", "p_brand AS manufacturer", "p_type AS description", "p_type AS description_text"),
     }
-    result = reconcile.run(raw)
-    return result.linked_assets.select("asset_id", "department_name", "vendor_name", "product_name", "requester_name", "purchase_assignment", "matched_employee_id", "match_source")
+    return reconcile.run(raw)
+
+
+# The whole run in SQL: the sequential assignment in asset order, and names that equal one employee's.
+RUN_SQL = AUTO_SQL.replace("(ORDER BY asset_id) AS pos FROM assets", "(ORDER BY created_at, asset_id) AS pos FROM assets") + """,
+bought AS (SELECT asset_id, purchase_id FROM steps JOIN queue USING (pos) JOIN lines ON chosen = ppos),
+staff AS (SELECT c_custkey, row_number() OVER (ORDER BY c_name, c_mktsegment) AS employee_id FROM customer),
+linked AS (SELECT p_partkey AS asset_id, n_name AS department_name, p_brand AS vendor_name, p_name AS product_name,
+  c_mktsegment || ' ' || c_name AS requester_name, purchase_id AS purchase_assignment, employee_id AS matched_employee_id,
+  CASE WHEN employee_id IS NOT NULL THEN 'requester_name' END AS match_source, (p_size + 1)::DOUBLE AS memory,
+  (p_size % 25)::BIGINT AS department_id, regexp_extract(p_brand, '(\\d+)', 1)::BIGINT AS vendor_id
+  FROM part LEFT JOIN nation ON n_nationkey = p_size % 25 LEFT JOIN customer ON c_custkey = p_partkey
+  LEFT JOIN staff USING (c_custkey) LEFT JOIN bought ON bought.asset_id = p_partkey)
+"""
+
+
+@query("reconcile_all", f"WITH RECURSIVE {RUN_SQL.removeprefix('WITH RECURSIVE')} SELECT * EXCLUDE (department_id, vendor_id) FROM linked")
+def reconcile_all(spark, sf_dir):
+    """One row per linked asset of the whole run."""
+    return _outcome(spark, sf_dir).linked_assets.select(
+        "asset_id", "department_name", "vendor_name", "product_name", "requester_name", "purchase_assignment", "matched_employee_id",
+        "match_source", "memory",
+    )
+
+
+@query("reconcile_links", f"""WITH RECURSIVE {RUN_SQL.removeprefix('WITH RECURSIVE')}
+SELECT 'asset_employee' AS relation, asset_id AS source, matched_employee_id AS target FROM linked WHERE matched_employee_id IS NOT NULL
+UNION ALL SELECT 'employee_department', matched_employee_id, department_id FROM linked WHERE matched_employee_id IS NOT NULL
+UNION ALL SELECT 'asset_product', asset_id, asset_id FROM linked
+UNION ALL SELECT 'asset_vendor', asset_id, vendor_id FROM linked
+UNION ALL SELECT 'product_asset_type', asset_id, 1 FROM linked
+UNION ALL SELECT 'asset_purchase', asset_id, purchase_assignment FROM linked WHERE purchase_assignment IS NOT NULL""")
+def reconcile_links(spark, sf_dir):
+    """All six relations of the whole run."""
+    links = _outcome(spark, sf_dir).links
+    rows = [
+        links[name].select(F.lit(name).alias("relation"), F.col(source).alias("source"), F.col(target).cast("bigint").alias("target"))
+        for name, (source, target, _, _) in sync.LINKS.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query("reconcile_entities", """
+SELECT 'asset_id' AS entity, p_partkey::VARCHAR AS key, p_name AS name FROM part
+UNION ALL SELECT 'purchase_id', p_partkey::VARCHAR, p_name FROM part
+UNION ALL SELECT 'product_id', p_partkey::VARCHAR, p_name FROM part
+UNION ALL SELECT 'employee_id', (row_number() OVER (ORDER BY c_name, c_mktsegment))::VARCHAR, c_mktsegment FROM customer
+UNION ALL SELECT 'department_id', n_nationkey::VARCHAR, n_name FROM nation
+UNION ALL SELECT 'asset_type_id', r_regionkey::VARCHAR, r_name FROM region
+UNION ALL SELECT DISTINCT 'vendor_id', regexp_extract(p_brand, '(\\d+)', 1), p_brand FROM part
+""")
+def reconcile_entities(spark, sf_dir):
+    """All seven entities of the whole run by key, with the name (item, first name) of each."""
+    named = {"purchase_id": "item", "employee_id": "first_name"}
+    rows = [
+        entity.select(F.lit(key).alias("entity"), F.col(key).cast("string").alias("key"), F.col(named.get(key, "name")).alias("name"))
+        for key, entity in _outcome(spark, sf_dir).entities.items()
+    ]
+    return reduce(DataFrame.unionByName, rows)

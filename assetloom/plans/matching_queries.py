@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from assetloom.functions import similarity
 from assetloom.operators import assign, matching, people
+from assetloom.operators.columns import asset_keys, purchase_keys
 from assetloom.plans.roles import part_assets, part_purchases, table
 
 QUERIES, SQL = {}, {}
@@ -116,6 +117,35 @@ def candidate_display(spark, sf_dir):
     )
 
 
+HOT_SQL = """
+stock AS (SELECT o_orderkey AS purchase_id, o_orderstatus AS vendor_lower, o_orderpriority AS item_lower, date_trunc('month', o_orderdate) AS date FROM orders),
+assets AS (SELECT c_custkey AS asset_id, CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS vendor, '2-HIGH' AS product,
+  TIMESTAMP '1996-01-01' + to_days((c_custkey % 50)::INT) AS created_at FROM customer),
+ranked AS (SELECT asset_id, purchase_id, 'exact' AS kind, CAST(NULL AS DOUBLE) AS fuzzy_score, date_diff('day', date, created_at) AS date_discrepancy,
+  row_number() OVER (PARTITION BY asset_id ORDER BY date DESC, purchase_id) AS rank
+  FROM assets JOIN stock ON vendor = vendor_lower AND product = item_lower AND date <= created_at)
+"""
+
+
+@query("hot_candidates", f"WITH {HOT_SQL} SELECT * FROM ranked WHERE rank <= 8")
+def hot_candidates(spark, sf_dir):
+    """Orders as purchase lines with few keys and month dates, so that very many candidates tie; customers as assets. Two pages."""
+    lines = purchase_keys(
+        table(spark, sf_dir, "orders").selectExpr(
+            "o_orderkey AS purchase_id", "o_orderstatus AS vendor", "o_orderpriority AS item", "'' AS description",
+            "date_trunc('MONTH', o_orderdate) AS date", "CAST(1 AS BIGINT) AS count",
+        )
+    ).withColumns({"vendor_lower": F.col("vendor"), "item_lower": F.col("item")})
+    assets = asset_keys(
+        table(spark, sf_dir, "customer").selectExpr(
+            "c_custkey AS asset_id", "CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS vendor_name", "'2-HIGH' AS product_name",
+            "'' AS description", "timestampadd(DAY, c_custkey % 50, TIMESTAMP '1996-01-01 00:00:00') AS created_at",
+        )
+    ).withColumns({"vendor_name_lower": F.col("vendor_name"), "product_name_lower": F.col("product_name")})
+    first = matching.rank_candidates(assets, lines, 5, threshold=100.0)
+    return first.unionByName(matching.rank_candidates(assets, lines, 3, threshold=100.0, after=first))
+
+
 @query(
     "work_queue",
     f"""WITH {ROLES_SQL},

@@ -381,8 +381,8 @@ def json_map_round_trip(spark, sf_dir):
 @query(
     "subresources",
     """
-SELECT c_custkey AS display_id, c_name, coalesce(max(CASE WHEN event_type = 'click' THEN props END), 'null') AS click,
-       coalesce(max(CASE WHEN event_type = 'error' THEN props END), 'null') AS error
+SELECT c_custkey AS display_id, c_name, coalesce('[' || string_agg(props, ',' ORDER BY props) FILTER (event_type = 'click') || ']', 'null') AS click,
+       coalesce('[' || string_agg(props, ',' ORDER BY props) FILTER (event_type = 'error') || ']', 'null') AS error
 FROM customer LEFT JOIN events ON user_id = c_custkey GROUP BY ALL
 """,
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -24,8 +26,8 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables.
 
     The cluster names it in ``spark.checkpoint.dir``. Only a local session that
-    leaves it unset gets a folder of its own; a cluster session must set it,
-    because executors cannot share a machine-local folder.
+    leaves it unset, as in tests, gets a folder of its own until the process ends; a
+    cluster session must set it, because executors cannot share a machine-local folder.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None)
     if configured:
@@ -35,6 +37,7 @@ def checkpoint_root(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _fallback_dirs:
         _fallback_dirs[app] = tempfile.mkdtemp(prefix="assetloom-")
+        atexit.register(shutil.rmtree, _fallback_dirs[app], ignore_errors=True)
     return _fallback_dirs[app]
 
 
@@ -47,4 +50,13 @@ def cut(df: DataFrame, label: str = "step") -> DataFrame:
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    copy = spark.read.schema(df.schema).parquet(path)
+    copy._step_path = path
+    return copy
+
+
+def discard(step: DataFrame) -> None:
+    """Delete the table behind a frame that ``cut`` returned, once no later plan reads it."""
+    session = step.sparkSession
+    path = session._jvm.org.apache.hadoop.fs.Path(step._step_path)
+    path.getFileSystem(session._jsc.hadoopConfiguration()).delete(path, True)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetloom.functions.text import dict_literal, first_braces
+from assetloom.functions.values import to_long
 from assetloom.operators.columns import lower_names, snake_names
 from assetloom.sources.schemas import ENTITIES
 
@@ -24,13 +25,14 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
     """A required CSV file with a header; a missing path raises.
 
-    With a schema, columns are matched by header name and columns the file
+    ``multi_line`` allows line breaks in quoted values, at the price of one task
+    per file; without it large files are split. With a schema, columns are matched by header name and columns the file
     lacks are left out, so no pass over the data is spent on inference.
     """
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
     header = reader.option("inferSchema", False).csv(path)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
@@ -45,11 +47,13 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataF
     )
 
 
-def read_optional_csv(spark: SparkSession, path: str | None, schema: str | None = None) -> DataFrame | None:
+def read_optional_csv(
+    spark: SparkSession, path: str | None, schema: str | None = None, multi_line: bool = False
+) -> DataFrame | None:
     """A CSV file that may be missing (then ``None``); column names come back in lower case."""
     if not path or not path_exists(spark, path):
         return None
-    return lower_names(read_csv(spark, path, schema))
+    return lower_names(read_csv(spark, path, schema, multi_line))
 
 
 def read_entity(spark: SparkSession, name: str, path: str) -> DataFrame:
@@ -95,40 +99,44 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """Reuse a Parquet copy when it is there; otherwise build, write and read it."""
-    if not path_exists(spark, path):
-        build().write.parquet(path)
+    """Reuse a Parquet copy when it is complete; otherwise build, write and read it."""
+    if not path_exists(spark, f"{path.rstrip('/')}/_SUCCESS"):
+        build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
 def attach_subresources(assets: DataFrame, responses: DataFrame, kinds: list[str], key: str = "display_id") -> DataFrame:
     """Add one JSON-text column per sub-resource; an asset without a response gets ``null`` text.
 
-    ``responses`` holds ``(key, kind, payload)`` with one payload per key and kind.
+    ``responses`` holds ``(key, kind, payload)`` with JSON text as payload. A column lists
+    all payloads of the asset and kind as a JSON array, in the order of their texts.
     """
-    wide = responses.groupBy(key).pivot("kind", kinds).agg(F.max("payload"))
-    joined = assets.join(wide, key, "left")
-    return joined.select(*assets.columns, *[F.coalesce(F.col(k), F.lit("null")).alias(k) for k in kinds])
+    listed = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("payload")))).alias(k) for k in kinds]
+    joined = assets.join(responses.groupBy(key).agg(*listed), key, "left")
+    text = {k: F.when(F.size(k) > 0, F.concat(F.lit("["), F.array_join(k, ","), F.lit("]"))).otherwise("null") for k in kinds}
+    return joined.select(*assets.columns, *[value.alias(k) for k, value in text.items()])
 
 
 def read_json_map(spark: SparkSession, path: str, value_type: str = "bigint") -> DataFrame:
     """A JSON object ``{"key": number}`` as rows ``(key, value)``; a missing file gives no rows.
 
     Lines are split across tasks and the pairs are picked out of each line, so
-    an indented map of any size never sits in one task.
+    an indented map of any size never sits in one task. A null stays a null value.
     """
     if not path_exists(spark, path):
         return spark.createDataFrame([], f"key STRING, value {value_type}")
-    pair = r'"([^"]*)"\s*:\s*"?(-?[0-9][0-9.eE+-]*)"?'
-    lines = spark.read.text(path).select("value")
-    found = lines.select(
-        F.explode(F.arrays_zip(F.regexp_extract_all("value", F.lit(pair), F.lit(1)).alias("k"),
-                               F.regexp_extract_all("value", F.lit(pair), F.lit(2)).alias("v"))).alias("p")
-    )
-    return found.select(F.col("p.k").alias("key"), F.col("p.v").try_cast("double").try_cast(value_type).alias("value"))
+    pair = r'"((?:[^"\\]|\\.)*)"\s*:\s*(?:"?(-?[0-9][0-9.eE+-]*)"?|null)'
+    key, value = (F.regexp_extract_all("value", F.lit(pair), F.lit(n)) for n in (1, 2))
+    found = spark.read.text(path).select(F.explode(F.arrays_zip(key.alias("k"), value.alias("v"))).alias("p"))
+    spelled = F.from_json(F.concat(F.lit('["'), F.col("p.k"), F.lit('"]')), "array<string>")[0]
+    number = F.nullif(F.col("p.v"), F.lit(""))
+    typed = to_long(number) if value_type in ("bigint", "long") else number.try_cast("double").try_cast(value_type)
+    return found.select(F.coalesce(spelled, F.col("p.k")).alias("key"), typed.alias("value"))
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """A value mapping kept as one dict literal in a text file, as rows ``(raw, canonical)``."""
-    text = spark.read.text(path, wholetext=True).select(first_braces(F.col("value")).alias("t"))
+    """A value mapping as rows ``(raw, canonical)``: one dict literal somewhere in a text file, or one object per line."""
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    whole = not lines.where(~F.col("value").rlike(r"^\s*\{.*\}\s*$")).isEmpty()
+    text = spark.read.text(path, wholetext=True).select(first_braces(F.col("value")).alias("t")) if whole else lines.select(F.col("value").alias("t"))
     return text.select(F.explode(dict_literal(F.col("t"))).alias("raw", "canonical"))

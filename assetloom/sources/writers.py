@@ -38,9 +38,9 @@ def write_clean_csv(df: DataFrame, path: str, legacy_format: bool = False) -> No
 
 
 def merge_append(existing: DataFrame | None, new: DataFrame | None) -> DataFrame | None:
-    """Existing and new rows by column name, fully equal rows once."""
+    """Existing and new rows by column name, fully equal rows once; one of the two alone stays as it is."""
     if new is None or existing is None:
-        return existing if new is None else new.dropDuplicates()
+        return existing if new is None else new
     return existing.unionByName(new, allowMissingColumns=True).dropDuplicates()
 
 
@@ -56,4 +56,5 @@ def write_json_map(entries: DataFrame, path: str, key: str, value: str) -> None:
 
 
 def write_mapping(mapping: DataFrame, path: str) -> None:
-    mapping.select("raw", "canonical").write.mode("overwrite").parquet(path)
+    """One ``{"raw": "canonical"}`` object per line, as ``read_mapping`` takes it; rows without a canonical value map nothing and are left out."""
+    write_json_map(mapping.where("canonical IS NOT NULL"), path, "raw", "canonical")

@@ -2,6 +2,7 @@ import random
 
 import pytest
 from brute import assign_loop
+from pyspark.sql import functions as F
 
 from assetloom.operators import assign, matching, ranking, search
 from assetloom.operators.columns import asset_keys, purchase_keys
@@ -29,7 +30,6 @@ def test_same_as_the_loop(spark, monkeypatch, seed, hot, plain_rows):
     """Small slices and pages, a hot key, and the path for groups too large for one window."""
     monkeypatch.setattr(assign, "SLICE", 3)
     monkeypatch.setattr(assign, "FIRST_PAGE", 2)
-    monkeypatch.setattr(assign, "SEARCH_ALL_PAIRS", 0 if seed % 2 else 1_000)
     monkeypatch.setattr(ranking, "PLAIN_WINDOW_ROWS", plain_rows)
     assets, purchases = instance(seed, hot)
     a, p = frames(spark, assets, purchases)
@@ -99,3 +99,14 @@ def test_work_queue(spark):
     rows = matching.work_queue(a, p).orderBy("place").collect()
     assert [(r.asset_id, r.has_exact, r.previous_asset, r.next_asset) for r in rows] == [
         (2, True, None, 3), (3, True, 2, 1), (1, False, 3, None)]
+
+
+def test_repeated_asset_ids(spark):
+    assets = [(1, "red ring", "acme", ""), (1, "red ring", "acme", ""), (2, "red ring", "acme", "")]
+    a, p = frames(spark, assets, [(7, "red ring", "acme", "", 2.0), (8, "red ring", "acme", "", 1.0)])
+    a = ranking.dense_ids(a, [F.col("asset_id")], "row")
+    matches = assign.auto_match(a, p, asset_order=("row",), row="row")
+    got = assign.with_assignments(a, matches, "row").select("asset_id", "row", "purchase_assignment").collect()
+    assert sorted(tuple(r) for r in got) == [(1, 1, 7), (1, 2, 7), (2, 3, 8)]
+    half = [(1, "x", "y", "", 2.5), (2, "x", "y", "", 2.5)]
+    assert assign.match_summary(a, frames(spark, assets, half)[1], matches).first().total_purchase_items == 5

@@ -3,7 +3,8 @@ import random
 import pytest
 from brute import partial, ratio
 
-from assetloom.operators import ranking, search
+from assetloom.operators import matching, ranking, search
+from assetloom.operators.columns import asset_keys, purchase_keys
 from assetloom.operators.search import Rule, nearest
 
 WORDS = ["red", "blue", "small", "hot", "widget", "bolt", "ring", "econ", "large brass"]
@@ -72,3 +73,18 @@ def test_dense_ids_with_equal_rows(spark, monkeypatch):
     out = ranking.dense_ids(df, [F.col("name").asc_nulls_last()], "id").orderBy("id").collect()
     assert [r.id for r in out] == list(range(1, 102))
     assert [(r.name, r.n) for r in out] == sorted(rows, key=lambda r: (r[0] is None, r[0] or "", r[1]))
+
+
+def test_hot_key_and_pages_without_end(spark):
+    """Two thousand lines of one vendor, product and date: ranks go by purchase, page after page."""
+    lines = spark.range(1, 2001).selectExpr(
+        "id AS purchase_id", "'ring' AS item", "'acme' AS vendor", "'' AS description", "CAST(1 AS DOUBLE) AS count", "TIMESTAMP '2024-01-01' AS date")
+    assets = spark.createDataFrame([(1,), (1,), (2,)], "asset_id long").selectExpr(
+        "asset_id", "'ring' AS product_name", "'acme' AS vendor_name", "'' AS description", "TIMESTAMP '2024-01-03 10:00:00' AS created_at")
+    purchases, assets = purchase_keys(lines), asset_keys(assets)
+    first = matching.rank_candidates(assets, purchases, 5)
+    assert sorted((r.asset_id, r.rank, r.purchase_id) for r in first.collect()) == sorted((a, n, n) for a in (1, 1, 2) for n in range(1, 6))
+    late = matching.rank_candidates(assets.where("asset_id = 2"), purchases, 100, page=15).collect()
+    assert sorted((r.rank, r.purchase_id) for r in late) == [(n, n) for n in range(1501, 1601)]
+    more = matching.rank_candidates(assets, purchases, 4, after=first).collect()
+    assert sorted({(r.asset_id, r.rank, r.purchase_id) for r in more}) == [(a, n, n) for a in (1, 2) for n in range(6, 10)]

@@ -2,11 +2,11 @@
 
 Labels belong to documents, so tokens are labelled through them: every word and
 word prefix gets a weight of evidence (the log of how much more often toxic
-documents hold it, less its standard error), and in a toxic document the tokens with strong evidence are
-toxic, all others clean. The field has two states; its features are the level of a
-token's evidence and the neighbours' states. Forward-backward gives each token's
-chance of being toxic; a document's score comes from the expected number of toxic
-tokens through a logistic curve fitted to the document labels.
+documents hold it, less its standard error), and in a toxic document the tokens with
+strong evidence are toxic, all others clean. The field has two states; its features are
+the level of a token's evidence and the neighbours' states. Forward-backward gives each
+token's chance of being toxic; a document's score comes from the sum of their squares
+through a logistic curve fitted to the document labels.
 """
 
 from __future__ import annotations
@@ -20,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import row_slices, utf8, words
+from assetloom.session import cut
 
 #: Labelled documents of each class that training reads, chosen by a hash of the id (about as many, or all if fewer).
 TRAIN_ROWS = 8_000
 #: Of these, documents of each class whose tokens the field is fitted to.
-FIELD_ROWS = 1_500
-#: Toxic documents that must hold a word or prefix before it counts as evidence, and the least evidence kept.
+FIELD_ROWS = 600
+#: Toxic documents that must hold a word or prefix before it counts as evidence, at least and as a share of all, and the least evidence kept.
 SUPPORT = 4
+SUPPORT_SHARE = 0.005
 LEAST = 1.5
 #: Evidence from which a token of a toxic document is labelled toxic.
 STRONG = 3.0
@@ -36,7 +38,7 @@ PREFIXES = (4, 5, 6)
 LEVELS = np.array([LEAST, 2.0, 2.5, STRONG, 3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 7.0, 8.0])
 #: Tokens of one chain; longer documents go on in a further chain.
 CHAIN = 128
-FIT_STEPS = 40
+FIT_STEPS = 25
 
 _GAP = np.array([not (chr(b).isalnum() or b >= 0x80) if b < 0x80 else False for b in range(256)])
 
@@ -143,8 +145,8 @@ def chains(row: np.ndarray) -> np.ndarray:
 
 
 def hits(row: np.ndarray, toxic: np.ndarray, rows: int) -> np.ndarray:
-    """The expected number of toxic tokens of each document."""
-    return np.bincount(row, toxic, rows) if len(row) else np.zeros(rows)
+    """About the number of toxic tokens of each document: chances are squared, so that faint ones do not add up in long texts."""
+    return np.bincount(row, toxic**2, rows) if len(row) else np.zeros(rows)
 
 
 def fit_chain(level: np.ndarray, label: np.ndarray, begins: np.ndarray) -> Chain:
@@ -184,25 +186,30 @@ def fit_curve(expected: np.ndarray, label: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
-def train(labelled: DataFrame, rows: int = TRAIN_ROWS, field_rows: int = FIELD_ROWS) -> Model:
-    """A model from the columns ``doc_id, text, toxic``; rows with a null label are left out.
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, field_rows: int = FIELD_ROWS) -> Model:
+    """A model from ``docs`` (``doc_id, text``) and ``labels`` (``doc_id, toxic``); labels other than 0 and 1 are left out.
 
-    Reads about ``rows`` whole documents a class, chosen by a hash of the id. The
+    Reads about ``rows`` whole documents a class, chosen by a hash of the id, so the chosen
+    ids may be sent to all tasks; of labels that disagree on a document the larger counts. The
     driver gets the evidence (bounded by these documents) and, of about ``field_rows``
     documents a class, the evidence of their tokens. Without documents of both classes
-    every score is the share of toxic rows.
+    every score is 0, or 1 if there are only toxic ones.
     """
-    labelled = labelled.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).where("toxic IN (0, 1)")
-    sizes = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    none = Model(np.zeros(0, np.uint64), np.zeros(0), fit_chain(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)), (0.0, -50.0))
-    if len(sizes) < 2:
-        none.curve = (0.0, 50.0 if 1 in sizes else -50.0)
-        return none
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
-    def chosen(most: int) -> DataFrame:
-        part = F.when(F.col("toxic") == 1, min(1.0, most / sizes[1])).otherwise(min(1.0, most / sizes[0]))
-        return labelled.where(place < part)
+    def part(most: int) -> F.Column:
+        return place < F.when(F.col("toxic") == 1, min(1.0, most / sizes.get(1, 1))).otherwise(min(1.0, most / sizes.get(0, 1)))
+
+    chosen = docs.select("doc_id", "text").join(F.broadcast(known.where(part(rows))), "doc_id")
+    sample = cut(chosen.withColumn("copy", F.xxhash64("text")).dropDuplicates(["copy", "toxic"]), "labelled")  # copies are no further evidence
+    read = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    none = np.zeros(0, np.int64)
+    model = Model(np.zeros(0, np.uint64), np.zeros(0), fit_chain(none, none, none), (0.0, 50.0 if 1 in read else -50.0))
+    if len(read) < 2:
+        return model
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -220,20 +227,18 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, field_rows: int = FIELD_R
                         [pa.array(found.view(np.int64)), pa.array(n * label, pa.int64()), pa.array(n * (1 - label), pa.int64())], ["key", "toxic", "clean"]
                     )
 
-    read = {k: min(n, rows) for k, n in sizes.items()}
     doubt = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
     odds = F.log((F.col("toxic") + 0.5) / F.lit(read[1] + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(read[0] + 1.0))
     found = (
-        chosen(rows).mapInArrow(count, "key long, toxic long, clean long")
+        sample.select("toxic", "text").mapInArrow(count, "key long, toxic long, clean long")
         .groupBy("key").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") >= SUPPORT).withColumn("evidence", odds - doubt).where(F.col("evidence") >= LEAST)
+        .where(F.col("toxic") >= max(SUPPORT, SUPPORT_SHARE * read[1])).withColumn("evidence", odds - doubt).where(F.col("evidence") >= LEAST)
         .select("key", "evidence").collect()
     )
     keys = np.array([r["key"] for r in found], np.int64).view(np.uint64)
     order = np.argsort(keys)
-    model = none
     model.keys, model.evidence = keys[order], np.array([r["evidence"] for r in found])[order]
-    shared = labelled.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,17 +249,16 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS, field_rows: int = FIELD_R
                 rows_of = [level[a:b].tobytes() for a, b in zip(*_bounds(own.row, hi - lo))]
                 yield pa.RecordBatch.from_arrays([batch.column("toxic")[lo:hi], pa.array(rows_of, pa.binary())], ["toxic", "level"])
 
-    sample = chosen(field_rows).mapInArrow(weigh, "toxic int, level binary").collect()
-    level = np.frombuffer(b"".join(r["level"] for r in sample), np.uint8).astype(np.int64)
-    row = np.repeat(np.arange(len(sample)), [len(r["level"]) for r in sample])
-    toxic = np.array([r["toxic"] for r in sample], np.int64)
+    field = sample.where(part(field_rows)).select("toxic", "text").mapInArrow(weigh, "toxic int, level binary").collect()
+    level = np.frombuffer(b"".join(r["level"] for r in field), np.uint8).astype(np.int64)
+    row = np.repeat(np.arange(len(field)), [len(r["level"]) for r in field])
+    toxic = np.array([r["toxic"] for r in field], np.int64)
     strong = int(np.searchsorted(LEVELS, STRONG, "right"))
     model.chain = fit_chain(level, (level >= strong) * toxic[row] if len(row) else level, chains(row))
     chance, _ = model.chain.marginals(level, chains(row))
-    weight = np.where(toxic == 1, sizes[1] / max(1, toxic.sum()), sizes[0] / max(1, (1 - toxic).sum()))
-    model.curve = fit_curve(hits(row, chance, len(sample)), toxic)
-    prior = np.log((weight[toxic == 1][:1].sum() or 1) / (weight[toxic == 0][:1].sum() or 1))
-    model.curve = (model.curve[0], model.curve[1] + float(prior))
+    slope, shift = fit_curve(hits(row, chance, len(field)), toxic)
+    prior = np.log(sizes[1] / sizes[0]) - np.log((toxic.sum() + 0.5) / ((1 - toxic).sum() + 0.5))  # the field's classes are not as frequent as all labels
+    model.curve = (slope, shift + float(prior))
     return model
 
 

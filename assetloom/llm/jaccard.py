@@ -11,10 +11,11 @@ bits rejects candidates by their Hamming distance, the rest are verified on the
 n-grams of their whole texts.
 
 Equal sets are one member from the start. Members that agree in a word are first
-compared to one pivot of that word, so that a large group of copies takes about one
-comparison a member; words whose members have become one component drop out.
-After ``ROUNDS`` rounds with other pivots, all pairs that are still in different
-components and agree in a word are compared, so no link is lost.
+compared to pivots of their words, so that a large group of copies takes a few
+comparisons a member; words whose members have become one component drop out.
+After some rounds with other pivots, all pairs that are still in different
+components and agree in a word are held against each other by their parity bits,
+in blocks inside of tasks, and those that may be linked are verified, so no link is lost.
 """
 
 from __future__ import annotations
@@ -24,18 +25,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import mix, release, row_slices, utf8, word_hashes
-from assetloom.session import cut
-
-#: Rounds in which the members of a word are compared to one of them.
-ROUNDS = 3
+from assetloom.session import cut, discard
+
+#: Pivots that a member is compared to in each of the first rounds.
+PIVOTS = (1, 4, 4, 4)
+#: Members of a word on either side of a block.
+BLOCK_ROWS = 2_000
+#: Smallest keys of a member that tell at which key a pair is returned.
+OWN_KEYS = 16
 #: Members that are compared to one pivot in one group.
 GROUP_ROWS = 256
 #: Parity bits of the second sketch.
-BITS = 512
+BITS = 1024
 _U = np.uint64
 
 
@@ -175,6 +180,64 @@ def _texts(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     return named.join(sets.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text"))
 
 
+def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``a, b`` of members ``key, set_id, label`` that agree in a key, have other labels and may be linked by size and parity bits.
+
+    The members of a key are cut into chunks and every two chunks meet in a block, so no task
+    holds a whole key. A pair is returned at the smallest key that it shares, or, if that is
+    none of the first ``OWN_KEYS`` of both, at every key, and then made distinct.
+    """
+    place = F.row_number().over(Window.partitionBy("set_id").orderBy("key"))
+    own = left.withColumn("place", place).where(F.col("place") <= OWN_KEYS).groupBy("set_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    chunks = left.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("chunks"))
+    rows = (
+        left.join(chunks, "key").withColumn("chunk", F.pmod(F.xxhash64("set_id"), F.col("chunks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        .join(own, "set_id").join(sets.select("set_id", "n_shingles", "bits"), "set_id")
+        .select("key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "chunk", "set_id", "label", "n_shingles", "bits", "keys")
+    )
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held = None, []
+        for batch in batches:
+            place = np.stack([batch.column(c).to_numpy() for c in ("key", "i", "j")], 1)
+            turns = np.flatnonzero(np.any(place[1:] != place[:-1], 1)) + 1
+            found = []
+            for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(place)]):
+                if tuple(place[a]) != block:
+                    found += _near(held, block, percent)
+                    block, held = tuple(place[a]), []
+                held.append(batch.slice(a, b - a))
+            yield _pairs(found)
+        yield _pairs(_near(held, block, percent))
+
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+
+def _near(held: list[pa.RecordBatch], block: tuple[int, int, int] | None, percent: int) -> list[tuple[int, int]]:
+    """The possible pairs of a block's rows."""
+    if not held:
+        return []
+    rows = pa.Table.from_batches(held)
+    key, i, j = block
+    chunk, ids, label, size = (rows.column(c).to_numpy() for c in ("chunk", "set_id", "label", "n_shingles"))
+    bits = np.frombuffer(b"".join(rows.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)
+    keys = rows.column("keys").to_pylist()
+    found = []
+    for x in np.flatnonzero(chunk == i).tolist():
+        rest = np.flatnonzero((label != label[x]) & ((chunk == j) if i < j else (ids > ids[x])))
+        rest = rest[(100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x]))]
+        apart = np.bitwise_count(bits[rest] ^ bits[x]).sum(1, dtype=np.int64)
+        for y in rest[apart * (100 + percent) <= (100 - percent) * (size[rest] + size[x])].tolist():
+            if min(set(keys[x]).intersection(keys[y]), default=key) == key:
+                found.append((int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))))
+    return found
+
+
 def verified(pairs: DataFrame, sets: DataFrame, whole: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of the pairs ``a, b`` that are linked. The members of a pivot ``b`` are spread over groups; each gets its text once."""
 
@@ -228,45 +291,42 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     any other. An empty table gives no rows. N-grams are compared by 64-bit hashes.
     """
     spark = docs.sparkSession
-    rows = cut(signatures(docs, n, percent), "signatures")
-    sets = rows.where("n_shingles > 0").groupBy("set_id").agg(
+    signed = cut(signatures(docs, n, percent), "signatures")
+    rows = cut(signed.select("doc_id", "n_shingles", "set_id"), "rows")
+    sets = signed.where("n_shingles > 0").groupBy("set_id").agg(
         F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"), F.max("bits").alias("bits")
     )
     sets = cut(sets, "sets")
-    sent = rows.where("n_shingles > 0").select("set_id", F.explode("keys").alias("key"))
+    sent = signed.where("n_shingles > 0").select("set_id", F.explode("keys").alias("key"))
     shared = sent.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("key")
     shared = cut(shared, "shared")
     release(spark)
     members = cut(sent.join(shared, "key").select("key", "set_id").distinct(), "members")
+    discard(signed)
     release(spark)
     whole = cut(_texts(docs, sets.join(members.select("set_id").distinct(), "set_id").select("set_id", "rep"), n), "texts")
     release(spark)
     labels = cut(members.select(F.col("set_id").alias("node"), F.col("set_id").alias("label")).distinct(), "labels")
     left = members.withColumn("label", F.col("set_id"))
-    for turn in range(ROUNDS + 1):
-        if turn < ROUNDS:
-            order = F.xxhash64("set_id", F.lit(turn))
-            pivot = left.groupBy("key").agg(F.min_by(F.struct("set_id", "label"), order).alias("pivot"))
-            pairs = (
-                left.join(pivot, "key").where("label <> pivot.label")
-                .groupBy(F.col("set_id").alias("a")).agg(F.min_by("pivot.set_id", F.xxhash64("pivot.set_id", F.lit(turn))).alias("b"))
-            )
-        else:
-            other = left.select("key", F.col("set_id").alias("b"), F.col("label").alias("label_b"))
-            pairs = left.withColumnRenamed("set_id", "a").join(other, "key").where("a < b AND label <> label_b").select("a", "b").distinct()
+    for turn, most in enumerate(PIVOTS):
+        pivot = left.groupBy("key").agg(F.min_by(F.struct("set_id", "label"), F.xxhash64("set_id", F.lit(turn))).alias("pivot"))
+        pairs = (
+            left.join(pivot, "key").where("label <> pivot.label").groupBy(F.col("set_id").alias("a"))
+            .agg(F.slice(F.sort_array(F.collect_set("pivot.set_id")), 1, most).alias("some")).select("a", F.explode("some").alias("b"))
+        )
         labels = merged(labels, verified(pairs, sets, whole, n, percent))
-        if turn == ROUNDS:
-            break
         joined = members.join(labels.withColumnRenamed("node", "set_id"), "set_id")
         mixed = joined.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
         left = cut(joined.join(mixed, "key"), "members")
         if left.isEmpty():
             break
+    else:
+        labels = merged(labels, verified(cut(_across(left, sets, percent), "across"), sets, whole, n, percent))
     named = sets.select("set_id", "rep").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = cut(named.select("set_id", "rep", F.coalesce("label", "set_id").alias("label")), "components")
     smallest = named.groupBy("label").agg(F.min("rep").alias("component"))
     of_set = named.join(smallest, "label").select("set_id", "component")
     return (
-        rows.select("doc_id", "n_shingles", "set_id").join(of_set, "set_id", "left")
+        rows.join(of_set, "set_id", "left")
         .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
     )

@@ -1,12 +1,11 @@
 """Main text of web pages by consensus paths of their hosts.
 
 Each page is read once into elements and text blocks. Blocks of menus, forms,
-adverts, comments and the like do not count, the rest is content. Every container
-that holds most of a page's content votes for its generalised path (tags and
-classes without digits) in proportion to its share, the deeper the better. Spark
-adds the votes per host, and the pages are read again with the path that won:
-the matching container with most content is the article. A page without such a
-container uses the best one of its own.
+adverts, comments and the like do not count, the rest is content. A container scores by its share
+of the page's content, and the deepest one with most of it votes, by its share, for
+its generalised path (tags and classes without digits). Spark adds the votes per
+host, and the pages are read again with the path that won: the matching container
+with most content is the article. A page without such a container uses its own best one.
 """
 
 from __future__ import annotations
@@ -25,8 +24,6 @@ from assetloom.session import cut
 
 #: The share of a page's content from which a container may vote.
 MOST = 0.8
-#: What a level of depth adds to a vote.
-DEEPER = 0.05
 
 # Names of HTML elements, and the class words by which sites mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -160,22 +157,21 @@ class Page:
             stack.append((tag, element, out or mine, free))
         flush()
 
-    def votes(self) -> dict[int, float]:
-        """For the path of every container that holds most of the content its vote."""
-        found: dict[int, float] = {}
+    def tightest(self) -> int:
+        """The deepest container that holds most of the content; the page itself if there is none."""
+        best = 0
         for i, n in enumerate(self.content):
-            if i and self.container[i] and self.total and n >= MOST * self.total:
-                found[self.path[i]] = max(found.get(self.path[i], 0), n / self.total * (1 + DEEPER * self.depth[i]))
-        return found
+            if n and n >= MOST * self.total and self.container[i] and self.depth[i] > self.depth[best]:
+                best = i
+        return best
 
     def text(self, path: int | None) -> str:
         """The blocks of the container with this path that holds most content, or of the page's own best one."""
-        own = [i for i, p in enumerate(self.path) if p == path and self.container[i] and self.content[i]] if path is not None else []
-        if not own:
-            own = [i for i, n in enumerate(self.content) if self.container[i] and n and n >= MOST * self.total]
-            best = max(own, key=lambda i: self.depth[i], default=0)
-        else:
-            best = max(own, key=lambda i: (self.content[i], -i))
+        best = -1
+        for i, p in enumerate(self.path):
+            if p == path and self.container[i] and self.content[i] and (best < 0 or self.content[i] > self.content[best]):
+                best = i
+        best = self.tightest() if best < 0 else best
         inside = [False] * len(self.parent)
         inside[best] = True
         for i in range(best + 1, len(inside)):
@@ -215,15 +211,17 @@ def extract(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found: dict[tuple[str, int], float] = {}
             for host, source in zip(batch.column("host").to_pylist(), texts(batch.column("html"))):
-                for path, n in Page(source).votes().items():
-                    found[host, path] = found.get((host, path), 0) + n
+                page = Page(source)
+                best = page.tightest()
+                if best:
+                    found[host, page.path[best]] = found.get((host, page.path[best]), 0) + page.content[best] / page.total
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(found.values(), pa.float64())],
                 ["host", "path", "votes"],
             )
 
     votes = rows.select("host", "html").mapInArrow(vote, "host string, path long, votes double")
-    added = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 6).alias("votes"))
+    added = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 3).alias("votes"))
     winners = cut(added.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path")), "paths")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

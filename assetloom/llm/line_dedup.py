@@ -51,11 +51,11 @@ def _tokens(line: F.Column, ranks: F.Column) -> F.Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return docs.select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
 
 
 def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
-    """``doc_id, line_no`` of every line that an earlier one matches.
+    """``doc_id, row, line_no`` of every line that an earlier one matches; ``row`` is a hash of the whole text.
 
     Lines lie between line feeds and are ordered by ``doc_id`` and place; lines at the same
     place (rows that repeat an id) are none of them earlier. The tokens of a line are its
@@ -71,10 +71,11 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     n = F.size("tokens")
     first_tokens = (n - F.expr(f"({percent} * size(tokens) + 99) DIV 100") + 1).cast("int")
     lines = cut(
-        tokens.where(n > 0).select("doc_id", "line_no", F.xxhash64("tokens").alias("set"), n.alias("n"), F.slice("tokens", 1, first_tokens).alias("prefix")),
+        tokens.where(n > 0).select("doc_id", "row", "line_no", F.xxhash64("tokens").alias("set"), n.alias("n"), F.slice("tokens", 1, first_tokens).alias("prefix")),
         "lines",
     )
-    sets = cut(lines.select("set", place.alias("place")).groupBy("set").agg(F.min("place").alias("first")), "sets")
+    sets = lines.select("set", "row", place.alias("place")).groupBy("set").agg(F.min(F.struct("place", "row")).alias("spot"))
+    sets = cut(sets.select("set", F.col("spot.place").alias("first"), F.col("spot.row").alias("row")), "sets")
     prefix = lines.groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("set", "n", F.posexplode("prefix").alias("at", "token"))
     prefix = cut(prefix, "prefixes")
     left, right = (prefix.select("token", F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}")) for s in ("a", "b"))
@@ -87,10 +88,10 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     candidates = cut(candidates, "candidates")
     release(spark)
     wanted = candidates.select(F.col("a").alias("set")).union(candidates.select("b")).distinct()
-    spots = sets.join(wanted, "set").select("set", "first.doc_id", "first.line_no")
-    spots = spots.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "set")).alias("spots"))
+    spots = sets.join(wanted, "set").select("set", "row", F.col("first.doc_id").alias("owner"), "first.line_no")
+    spots = spots.groupBy("owner", "row").agg(F.collect_list(F.struct("line_no", "set")).alias("spots"))
     whole = (
-        docs.join(spots.withColumnRenamed("doc_id", "owner"), F.col("doc_id").eqNullSafe(F.col("owner")))
+        docs.join(spots, _of_row())
         .select(F.split("text", "\n", -1).alias("all"), F.explode("spots").alias("spot"))
         .select("spot.set", _tokens(F.get("all", F.col("spot.line_no")), ranks).alias("tokens"))
         .where(F.xxhash64("tokens") == F.col("set")).groupBy("set").agg(F.first("tokens").alias("tokens"))
@@ -105,8 +106,14 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
         .select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
     )
     gone = cut(pairs, "later")
-    judged = lines.select("doc_id", "line_no", "set").join(sets.join(gone.withColumn("gone", F.lit(True)), "set", "left"), "set")
-    return judged.where(F.coalesce("gone", F.lit(False)) | (place > F.col("first"))).select("doc_id", "line_no").distinct()
+    firsts = sets.select("set", "first").join(gone.withColumn("gone", F.lit(True)), "set", "left")
+    judged = lines.select("doc_id", "row", "line_no", "set").join(firsts, "set")
+    return judged.where(F.coalesce("gone", F.lit(False)) | (place > F.col("first"))).select("doc_id", "row", "line_no").distinct()
+
+
+def _of_row() -> F.Column:
+    """The join of documents with what is known of their rows, by ``owner`` and ``row``."""
+    return F.col("doc_id").eqNullSafe(F.col("owner")) & (F.xxhash64("text") == F.col("row"))
 
 
 def drop_similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -114,10 +121,10 @@ def drop_similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     Rules as in ``similar_lines``. A null text has no lines and stays null.
     """
-    removed = similar_lines(docs, percent).groupBy(F.col("doc_id").alias("owner")).agg(F.collect_set("line_no").alias("removed"))
+    removed = similar_lines(docs, percent).groupBy(F.col("doc_id").alias("owner"), "row").agg(F.collect_set("line_no").alias("removed"))
     every = F.split("text", "\n", -1)
     kept = F.filter(every, lambda line, at: ~F.array_contains(F.coalesce("removed", F.array().cast("array<int>")), at))
-    return docs.select("doc_id", "text").join(removed, F.col("doc_id").eqNullSafe(F.col("owner")), "left").select(
+    return docs.select("doc_id", "text").join(removed, _of_row(), "left").select(
         "doc_id", F.coalesce(F.size(every), F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).alias("n_removed"),
         F.array_join(kept, "\n").alias("text"),
     )

@@ -44,18 +44,19 @@ def _literal_map(texts: pd.Series) -> pd.Series:
 
 
 def json_dict(text: Column) -> Column:
-    """The JVM's part: the JSON reader after the bare words are respelled.
+    """The JVM's part: the JSON reader, after the bare words are respelled where there are any.
 
     Null for texts it refuses, for texts with escapes, and where a quoted value
     holds what looks like a bare word.
     """
+    plain = ~text.rlike(r"None|True|False|\\")
     outside = F.regexp_replace(text, _QUOTED, "''")
     respelled, odd = text, text.contains("\\")
     for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
         pattern = _BARE.format(word=word)
         odd = odd | (F.regexp_count(text, F.lit(pattern)) != F.regexp_count(outside, F.lit(pattern)))
         respelled = F.regexp_replace(respelled, pattern, json_word)
-    return F.when(~odd, F.from_json(respelled, MAP_TYPE))
+    return F.when(plain, F.from_json(text, MAP_TYPE)).when(~odd, F.from_json(respelled, MAP_TYPE))
 
 
 def or_literal(parsed: Column, text: Column) -> Column:

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import heapq
+import math
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assetloom.functions.values import date_text
@@ -24,6 +28,56 @@ def current_assignments(events: DataFrame) -> DataFrame:
     )
 
 
+def assign_with_stock(events: DataFrame, purchases: DataFrame) -> DataFrame:
+    """The log replayed with refusals: ``(event_id, asset_id, purchase_id, ts, taken)``, unassigning events left out.
+
+    An asset gives its purchase back at its next event that names another one or none.
+    An event that names a purchase without free stock is refused, and the asset is left
+    with nothing; naming the purchase one already holds changes nothing. What an asset
+    holds between two events depends on no other purchase, so each purchase is replayed
+    alone, in one pass over its events in time order that remembers its present holders,
+    at most its stock. Purchases that are not in the table, and stock that is null or
+    below one, refuse all.
+    """
+    whose = Window.partitionBy("asset_id").orderBy("ts", "event_id")
+    before = F.lag("purchase_id").over(whose)
+    runs = events.withColumn("_new", F.when(F.row_number().over(whose) == 1, 1).otherwise((~before.eqNullSafe(F.col("purchase_id"))).cast("int")))
+    runs = runs.withColumn("_run", F.sum("_new").over(whose)).where(F.col("purchase_id").isNotNull() | (F.col("_new") == 1))
+    ends = runs.groupBy("asset_id", (F.col("_run") - 1).alias("_run")).agg(F.min(F.struct("ts", "event_id")).alias("_end"))
+    steps = (
+        runs.where(F.col("purchase_id").isNotNull()).join(ends, ["asset_id", "_run"], "left")
+        .join(purchases.select("purchase_id", F.col("count").cast("long").alias("_stock")), "purchase_id", "left")
+    )
+    tries = steps.select(
+        "purchase_id", "ts", "event_id", "asset_id", "_run", F.coalesce("_stock", F.lit(0)).alias("_stock"),
+        F.unix_micros(F.col("_end.ts").cast("timestamp")).alias("_end_at"), F.col("_end.event_id").alias("_end_id"), F.unix_micros(F.col("ts").cast("timestamp")).alias("_at"),
+    )
+
+    def replayed(batches):
+        purchase, free, holders, held = None, 0, [], set()
+        for batch in batches:
+            rows, taken = batch.to_pylist(), []
+            for r in rows:
+                if r["purchase_id"] != purchase:
+                    purchase, free, holders, held = r["purchase_id"], r["_stock"], [], set()
+                while holders and holders[0][:2] <= (r["_at"], r["event_id"]):
+                    held.discard(heapq.heappop(holders)[2:])
+                    free += 1
+                me = (r["asset_id"], r["_run"])
+                if me not in held and free > 0:
+                    free -= 1
+                    held.add(me)
+                    heapq.heappush(holders, (math.inf if r["_end_at"] is None else r["_end_at"], r["_end_id"] or 0, *me))
+                taken.append(me in held)
+            columns = [batch.column(c) for c in ("event_id", "asset_id", "purchase_id", "ts")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(taken, pa.bool_())], ["event_id", "asset_id", "purchase_id", "ts", "taken"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in tries.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("event_id", "asset_id", "purchase_id", "ts")) + ", taken boolean"
+    ordered = tries.repartition("purchase_id").sortWithinPartitions("purchase_id", "ts", "event_id")
+    return ordered.mapInArrow(replayed, schema)
+
+
 def remaining_stock(purchases: DataFrame, assignments: DataFrame) -> DataFrame:
     """``remaining_count`` = count less the assignments of each purchase; it may go below zero."""
     used = assignments.groupBy("purchase_id").agg(F.count("*").alias("_used"))

@@ -137,6 +137,27 @@ def upsert_employees(spark, sf_dir):
     return sync.push_entity("employees", stored, source, "employee_id")
 
 
+@query("assign_with_stock", """WITH RECURSIVE log AS (
+  SELECT event_id, user_id AS asset_id, ts, CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k')::BIGINT END AS purchase_id,
+    row_number() OVER (ORDER BY ts, event_id) AS pos FROM events),
+steps AS (SELECT 0::BIGINT AS pos, NULL::BOOLEAN AS taken,
+    (SELECT list(p_size::BIGINT ORDER BY p_partkey) FROM part) AS stock, (SELECT list_transform(range(0, max(user_id) + 1), lambda x: 0::BIGINT) FROM events) AS held
+  UNION ALL
+  SELECT pos, taken,
+    CASE WHEN taken AND own <> p THEN list_concat(list_slice(credited, 1, p - 1), [credited[p] - 1], list_slice(credited, p + 1, len(credited))) ELSE credited END,
+    list_concat(list_slice(held, 1, asset_id), [CASE WHEN taken THEN p ELSE 0 END], list_slice(held, asset_id + 2, len(held)))
+  FROM (SELECT *, own = p AND p > 0 OR coalesce(p > 0 AND credited[p] > 0, false) AS taken FROM (
+    SELECT l.pos, l.asset_id, coalesce(l.purchase_id + 1, 0) AS p, held, held[l.asset_id + 1] AS own,
+      CASE WHEN held[l.asset_id + 1] > 0 AND held[l.asset_id + 1] <> coalesce(l.purchase_id + 1, 0)
+        THEN list_concat(list_slice(stock, 1, held[l.asset_id + 1] - 1), [stock[held[l.asset_id + 1]] + 1], list_slice(stock, held[l.asset_id + 1] + 1, len(stock)))
+        ELSE stock END AS credited
+    FROM steps s JOIN log l ON l.pos = s.pos + 1)))
+SELECT event_id, asset_id, purchase_id, taken FROM steps JOIN log USING (pos) WHERE purchase_id IS NOT NULL""")
+def assign_with_stock(spark, sf_dir):
+    """The whole event log as assignments that are refused where no stock is left."""
+    return A.assign_with_stock(event_log(spark, sf_dir), event_purchases(spark, sf_dir)).drop("ts")
+
+
 @query("upsert_assets", """
 SELECT o_custkey::VARCHAR AS asset_id, arg_max(o_orderpriority, o_orderkey) AS name,
   arg_max(o_totalprice, o_orderkey) FILTER (WHERE o_totalprice > 100000) AS cost,

@@ -390,3 +390,63 @@ def subresources(spark, sf_dir):
     responses = table(spark, sf_dir, "events").selectExpr("user_id AS display_id", "event_type AS kind", "props AS payload")
     assets = table(spark, sf_dir, "customer").selectExpr("c_custkey AS display_id", "c_name")
     return readers.attach_subresources(assets, responses, ["click", "error"])
+
+
+def _folder(spark, label):
+    return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+@query("entity_round_trip", "SELECT n_nationkey AS id, n_name AS name FROM nation")
+def entity_round_trip(spark, sf_dir):
+    path = _folder(spark, "entity")
+    writers.write_csv(table(spark, sf_dir, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS id", "n_name AS name"), path)
+    return readers.read_entity(spark, "departments", path)
+
+
+
+@query("read_or_build", "SELECT r_regionkey, r_name FROM region")
+def read_or_build(spark, sf_dir):
+    """Built once, then read back from the copy."""
+    path = _folder(spark, "copy")
+    regions = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    readers.read_or_build(spark, path, lambda: regions)
+    return readers.read_or_build(spark, path, lambda: regions.limit(0))
+
+
+@query("mapping_round_trip", "SELECT p_name AS raw, min(p_brand) AS canonical FROM part GROUP BY 1")
+def mapping_round_trip(spark, sf_dir):
+    path = _folder(spark, "mapping")
+    writers.write_mapping(table(spark, sf_dir, "part").groupBy(F.col("p_name").alias("raw")).agg(F.min("p_brand").alias("canonical")), path)
+    return readers.read_mapping(spark, path)
+
+
+@query("long_map_values", "SELECT c_custkey::VARCHAR AS key, 9007199254740993 + c_custkey AS value FROM customer")
+def long_map_values(spark, sf_dir):
+    """Map values that a double cannot hold."""
+    path = _folder(spark, "map")
+    writers.write_json_map(table(spark, sf_dir, "customer").selectExpr("c_custkey AS k", "9007199254740993 + c_custkey AS v"), path, "k", "v")
+    return readers.read_json_map(spark, path)
+
+
+@query("first_append", "SELECT l_orderkey, l_linestatus FROM lineitem")
+def first_append(spark, sf_dir):
+    """Without a stored table all new rows are written, repeated ones too."""
+    return writers.merge_append(None, table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linestatus"))
+
+
+@query("typed_counts", "SELECT c_custkey, trunc(c_acctbal)::BIGINT AS count, 0::BIGINT AS bad FROM customer")
+def typed_counts(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer")
+    return customers.select("c_custkey", V.to_count(F.col("c_acctbal").cast("string")).alias("count"), V.to_count(F.col("c_name")).alias("bad"))
+
+
+@query("category_keys", """
+SELECT p_partkey AS purchase_id, lower(p_brand) AS vendor_lower, lower(p_name) AS item_lower, lower(p_name || ' ' || p_brand || ' ' || p_type) AS composite_index
+FROM part WHERE lower(p_type) = (SELECT lower(min(p_type)) FROM part)
+""")
+def category_keys(spark, sf_dir):
+    """One category of purchase lines that come with the fallback column names."""
+    parts = table(spark, sf_dir, "part")
+    category = parts.agg(F.min("p_type")).first()[0]
+    lines = parts.selectExpr("p_partkey AS purchase_id", "p_brand AS vendor_name", "p_name AS product_name", "p_type AS description", "CAST(1 AS BIGINT) AS count", "p_type AS asset_class")
+    return C.purchase_keys(C.only_category(lines, "asset_class", category.upper())).select("purchase_id", "vendor_lower", "item_lower", "composite_index")

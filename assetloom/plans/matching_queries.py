@@ -232,13 +232,50 @@ def _users(spark, sf_dir):
     )
 
 
-@query("link_employees")
+# The best window of y for a shorter x, by the same LCS recurrence; ms holds the places of y's characters in x.
+WINDOWS_SQL = """
+codes AS (SELECT x, y, length(x) AS lx, length(y) AS ly, (1::BIGINT << length(x)::INT) - 1 AS whole,
+  list_transform(string_split(y, ''), lambda c: list_sum(list_transform(range(1, 1 + length(x)),
+    lambda i: CASE WHEN substr(x, i, 1) = c THEN (1::BIGINT << (i - 1)::INT) ELSE 0 END))::BIGINT) AS ms FROM base),
+windows AS (SELECT *, list_concat(list_concat(list_transform(range(1, lx), lambda i: [1, i]),
+  list_transform(range(1, ly - lx + 2), lambda i: [i, i + lx - 1])), list_transform(range(ly - lx + 2, ly + 1), lambda i: [i, ly])) AS ws FROM codes),
+scored AS MATERIALIZED (SELECT x, y, list_max(list_transform(ws, lambda w: 200::DOUBLE * (lx - bit_count(list_reduce(list_slice(ms, w[1], w[2]),
+  lambda v, m: ((v + (v & m)) | (v - (v & m))) & whole, whole))) / (lx + w[2] - w[1] + 1))) AS score FROM windows)
+"""
+
+
+@query(
+    "partial_scores",
+    f"""WITH base AS (SELECT DISTINCT lower(p_brand) AS x, lower(p_type || ' ' || p_name) AS y FROM part), {WINDOWS_SQL}
+SELECT x, y, round(score, 6) AS score FROM scored""",
+)
+def partial_scores(spark, sf_dir):
+    """The best-window score as a column function, over every distinct brand, type and name of part."""
+    texts = table(spark, sf_dir, "part").selectExpr("lower(p_brand) AS x", "lower(concat(p_type, ' ', p_name)) AS y").distinct()
+    return texts.select("x", "y", F.round(similarity.partial_ratio(F.col("x"), F.col("y")), 6).alias("score"))
+
+
+PEOPLE_SQL = f"""
+users AS (SELECT o_orderkey AS asset_id, CASE WHEN o_orderstatus = 'F' THEN 'supplier#' || lpad((o_custkey // 3)::VARCHAR, 9, '0') END AS last_logged_username,
+  'SUPPLIER#' || lpad(o_custkey::VARCHAR, 9, '0') AS requester_name FROM orders),
+staff AS (SELECT s_suppkey AS employee_id, lower('supplier ' || s_name || ' ' || s_nationkey) AS y FROM supplier),
+base AS (SELECT x, y FROM (SELECT DISTINCT last_logged_username AS x FROM users WHERE last_logged_username IS NOT NULL
+  UNION SELECT lower(requester_name) FROM users), staff), {WINDOWS_SQL},
+best AS (SELECT x, arg_min(employee_id, (-score, employee_id)) AS employee_id FROM scored JOIN staff USING (y) WHERE score >= 80 GROUP BY x),
+linked AS (SELECT asset_id, last_logged_username, requester_name, coalesce(a.employee_id, b.employee_id) AS matched_employee_id,
+  CASE WHEN a.employee_id IS NOT NULL THEN 'last_logged_username' WHEN b.employee_id IS NOT NULL THEN 'requester_name' END AS match_source
+  FROM users LEFT JOIN best a ON a.x = last_logged_username LEFT JOIN best b ON b.x = lower(requester_name))
+"""
+
+
+@query("link_employees", f"WITH {PEOPLE_SQL} SELECT * FROM linked")
 def link_employees(spark, sf_dir):
-    """Names to employees by best window; checked against brute force in the tests, SQL is too slow for it."""
+    """Names to employees by best window, from two sources in turn."""
     return people.link_employees(_users(spark, sf_dir), _roster(spark, sf_dir))
 
 
-@query("employee_map")
+@query("employee_map", f"""WITH {PEOPLE_SQL} SELECT asset_id::VARCHAR AS asset_id, matched_employee_id AS employee_id FROM linked
+WHERE matched_employee_id IS NOT NULL""")
 def employee_map(spark, sf_dir):
     linked = people.link_employees(_users(spark, sf_dir), _roster(spark, sf_dir))
     return people.employee_map(linked)

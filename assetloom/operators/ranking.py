@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,33 +25,40 @@ def dense_ids(df: DataFrame, order_by: list[Column], id_col: str, unique: bool =
     """
     columns = df.columns
     if unique:
-        ranged = cut(
-            df.repartitionByRange(*order_by).withColumn("_range", F.spark_partition_id()), "ranges"
+        ordered, order = df, order_by
+    else:
+        counted = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
+        last_block = F.floor((F.col("_copies") - 1) / COPIES_PER_BLOCK)
+        ordered = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block))).withColumn(
+            "_copies",
+            F.least(F.lit(COPIES_PER_BLOCK), F.col("_copies") - F.col("_block") * COPIES_PER_BLOCK).cast("bigint"),
         )
-        place = F.row_number().over(Window.partitionBy("_range").orderBy(*order_by))
+        order = [*order_by, *[F.col(f"`{c}`").asc_nulls_last() for c in columns], F.col("_block").asc()]
+    # Places within a range are counted in the stage that sorts it, so the rows are shuffled once.
+    ranged = ordered.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    ranged = ranged.withColumn("_range", F.shiftright("_id", 33).cast("int"))
+    if unique:
+        ranged = cut(ranged.withColumn("_before", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_id"), "ranges")
         offsets = _offsets(ranged.groupBy("_range").agg(F.count("*").alias("_total")))
-        numbered = ranged.withColumn("_place", place).join(F.broadcast(offsets), "_range")
-        number = (F.col("_offset") + F.col("_place")).cast("bigint")
-        return numbered.select(number.alias(id_col), *[F.col(f"`{c}`") for c in columns])
-    counted = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
-    last_block = F.floor((F.col("_copies") - 1) / COPIES_PER_BLOCK)
-    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), last_block))).withColumn(
-        "_copies",
-        F.least(F.lit(COPIES_PER_BLOCK), F.col("_copies") - F.col("_block") * COPIES_PER_BLOCK).cast("bigint"),
-    )
-    order = [*order_by, *[F.col(f"`{c}`").asc_nulls_last() for c in columns], F.col("_block").asc()]
-    ranged = cut(
-        blocks.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges"
-    )
-    offsets = _offsets(ranged.groupBy("_range").agg(F.sum("_copies").alias("_total")))
-    in_range = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    numbered = ranged.withColumn("_before", F.coalesce(F.sum("_copies").over(in_range), F.lit(0))).join(
-        F.broadcast(offsets), "_range"
-    )
-    first = F.col("_offset") + F.col("_before") + 1
-    return numbered.select(
-        F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias(id_col), *[F.col(f"`{c}`") for c in columns]
-    )
+        number = (F.col("_offset") + F.col("_before") + 1).cast("bigint").alias(id_col)
+    else:
+        running = ranged.drop("_id").withColumn("_before", F.lit(0).cast("bigint"))
+        ranged = cut(running.mapInArrow(_running_sum, running.schema), "ranges")
+        offsets = _offsets(ranged.groupBy("_range").agg(F.sum("_copies").alias("_total")))
+        first = F.col("_offset") + F.col("_before") + 1
+        number = F.explode(F.sequence(first, first + F.col("_copies") - 1)).alias(id_col)
+    return ranged.join(F.broadcast(offsets), "_range").select(number, *[F.col(f"`{c}`") for c in columns])
+
+
+def _running_sum(batches):
+    """Fill ``_before`` with the copies on the rows before, within one task."""
+    total = 0
+    for batch in batches:
+        copies = batch.column("_copies").to_numpy()
+        before = total + np.cumsum(copies) - copies
+        total += int(copies.sum())
+        place = batch.schema.get_field_index("_before")
+        yield batch.set_column(place, batch.schema.field(place), pa.array(before, pa.int64()))
 
 
 def _offsets(totals: DataFrame) -> DataFrame:

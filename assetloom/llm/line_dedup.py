@@ -24,7 +24,10 @@ _HASH = (1 << 48) - 1
 
 
 def _words(text: F.Column) -> F.Column:
-    return F.array_remove(F.split(F.lower(text), SPACE), "")
+    """Lower-case words; a line with nothing but single spaces between its words needs no pattern to be split."""
+    lower = F.lower(text)
+    odd = lower.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$|^$")
+    return F.when(odd, F.array_remove(F.split(lower, SPACE), "")).otherwise(F.split(lower, " "))
 
 
 def _ranks(docs: DataFrame) -> F.Column:
@@ -98,13 +101,27 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     )
     whole = cut(whole.join(sets, "set"), "whole")
     release(spark)
-    one, other = (whole.select(F.col("set").alias(s), F.col("tokens").alias(f"tokens_{s}"), F.col("first").alias(f"first_{s}")) for s in ("a", "b"))
-    common = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    pairs = (
-        candidates.join(one, "a").join(other, "b")
-        .where((100 + percent) * common >= percent * (F.size("tokens_a") + F.size("tokens_b"))).where("first_a <> first_b")
-        .select(F.when(F.col("first_a") < F.col("first_b"), F.col("b")).otherwise(F.col("a")).alias("set")).distinct()
+    # A set goes if any earlier one is similar, so the earliest candidate is tried first; only sets that stay try all others.
+    firsts = [sets.select(F.col("set").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b")]
+    placed = candidates.join(firsts[0], "a").join(firsts[1], "b").where("first_a <> first_b")
+    sooner = F.col("first_a") < F.col("first_b")
+    placed = placed.select(
+        F.when(sooner, F.col("b")).otherwise(F.col("a")).alias("set"), F.when(sooner, F.col("a")).otherwise(F.col("b")).alias("before"),
+        F.least("first_a", "first_b").alias("first"),
     )
+    placed = cut(placed, "placed")
+    own, earlier = (whole.select(F.col("set").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("set", "before"))
+    common = F.size(F.array_intersect("set_tokens", "before_tokens"))
+    similar = (100 + percent) * common >= percent * (F.size("set_tokens") + F.size("before_tokens"))
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        return pairs.join(own, "set").join(earlier, "before").where(similar).select("set").distinct()
+
+    soonest = placed.groupBy("set").agg(F.min_by("before", "first").alias("before"))
+    gone = cut(confirmed(soonest), "later")
+    release(spark)
+    rest = placed.select("set", "before").join(gone, "set", "left_anti").join(soonest, ["set", "before"], "left_anti")
+    pairs = gone.union(confirmed(rest))
     gone = cut(pairs, "later")
     firsts = sets.select("set", "first").join(gone.withColumn("gone", F.lit(True)), "set", "left")
     judged = lines.select("doc_id", "row", "line_no", "set").join(firsts, "set")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 18
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -67,7 +67,7 @@ class _Powers:
 
 
 def _blocks(space: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of about a megabyte that end at white space or a row's end, so that no word is cut."""
+    """Ranges of a quarter of a megabyte or so that end at white space or a row's end, so that no word is cut."""
     at, n = 0, len(space)
     while at < n:
         end = at + _BLOCK
@@ -123,7 +123,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate([h for _, h in blocks]), np.searchsorted(places, offsets).astype(np.int64)
 
 
-def row_slices(offsets: np.ndarray, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def row_slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most ``most`` bytes, or a single row."""
     at, n = 0, len(offsets) - 1
     while at < n:

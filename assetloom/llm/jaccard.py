@@ -32,7 +32,7 @@ from assetloom.llm.common import mix, release, row_slices, utf8, word_hashes
 from assetloom.session import cut, discard
 
 #: Pivots that a member is compared to in each of the first rounds.
-PIVOTS = (1, 4, 4, 4)
+PIVOTS = (1, 4, 4)
 #: Members of a word on either side of a block.
 BLOCK_ROWS = 2_000
 #: Smallest keys of a member that tell at which key a pair is returned.
@@ -121,12 +121,12 @@ def signatures(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """``doc_id, n_shingles, set_id, bits, keys`` of every row; the last three null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             rows = [
                 (len(g), set_id(g), parity_bits(g), sketch_keys(g, percent).view(np.int64)) if len(g) else (0, None, None, None)
                 for g in shingle_sets(batch.column("text"), n)
             ]
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             columns = [pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "n_shingles", "set_id", "bits", "keys"])
 

@@ -196,7 +196,7 @@ def train(labelled: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 
 def _answers(model: Model, found: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    parts, most = [], max(20, 4_000 // max(1, len(model.languages)))
+    parts, most = [], max(20, 600 // max(1, len(model.languages)))
     for at in range(0, len(found), most):
         parts.append(model.shares(found[at : at + most]))
     share = np.concatenate(parts) if parts else np.zeros((0, len(model.languages)))
@@ -234,7 +234,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, len(b), 500)):
             lang, score, _ = _answers(shared.value, texts(batch.column("text")))
             yield batch.filter(pa.array([x != UNKNOWN and s >= least for x, s in zip(lang, score)], pa.bool_()))
 

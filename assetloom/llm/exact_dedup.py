@@ -65,13 +65,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     The row with the smallest ``doc_id`` stays; rules for odd rows as in ``exact_groups``.
     """
-    names = docs.columns
-    row = docs.select(F.struct(*names).alias("row"), F.col("doc_id"), normalised(F.col("text")).alias("norm"))
-    rows = row.select("row", "doc_id", *_digests())
-    winners = exact_groups(docs).where("kept").select("doc_id", *KEY).withColumnRenamed("doc_id", "winner")
-    same = F.col("doc_id").eqNullSafe(F.col("winner"))
-    for c in KEY:
-        same = same & (rows[c] == winners[c])
-    repeats = Window.partitionBy("doc_id", *KEY).orderBy("doc_id")
-    kept = rows.join(winners, same, "left_semi").withColumn("place", F.row_number().over(repeats))
+    zero = F.lit(0).cast(docs.schema["doc_id"].dataType)
+    known = [F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), zero).alias("id")]
+    spot = ["no_id", "id", *KEY]
+    whole = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", normalised(F.col("text")).alias("norm"))
+    winners = exact_groups(docs).where("kept").select(*known, *KEY)
+    # The window has the join's own partitions, so whole rows are shuffled once.
+    repeats = Window.partitionBy(*spot).orderBy("id")
+    kept = whole.select("row", *known, *_digests()).join(winners, spot, "left_semi").withColumn("place", F.row_number().over(repeats))
     return kept.where("place = 1").select("row.*")

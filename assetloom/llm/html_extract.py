@@ -1,18 +1,19 @@
-"""Main text of web pages by consensus paths of their hosts.
+"""Main text of web pages by what repeats across the pages of their hosts.
 
 Each page is read once into elements and text blocks. Blocks of menus, forms,
-adverts, comments and the like do not count, the rest is content. A container scores by its share
-of the page's content, and the deepest one with most of it votes, by its share, for
-its generalised path (tags and classes without digits). Spark adds the votes per
-host, and the pages are read again with the path that won: the matching container
-with most content is the article. A page without such a container uses its own best one.
+adverts, comments and the like do not count, the rest is content. The content outside the
+deepest container with most of it goes to Spark by generalised path (tags and classes without
+digits); a path is furniture of the host if at least half of its texts stand on several
+different pages. The pages are read again with the furniture of their hosts: the deepest
+container with most of the other content is the article, all blocks in it follow in page order.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
+from hashlib import blake2b
 from zlib import crc32
 
 import pyarrow as pa
@@ -22,8 +23,10 @@ from pyspark.sql import functions as F
 from assetloom.llm.common import texts
 from assetloom.session import cut
 
-#: The share of a page's content from which a container may vote.
+#: The share of a page's content from which a container may be the article.
 MOST = 0.8
+#: Different pages of a host that hold a text, digits aside, which counts as repeated.
+PAGES = 3
 
 # Names of HTML elements, and the class words by which sites mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -62,12 +65,6 @@ class Page:
         self.parent, self.depth, self.path, self.container = [-1], [0], [0], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters outside links
         self._read(source)
-        content = [0] * len(self.parent)
-        for element, _, n in self.blocks:
-            content[element] += n
-        for i in range(len(content) - 1, 0, -1):
-            content[self.parent[i]] += content[i]
-        self.content, self.total = content, content[0]
 
     def _read(self, source: str) -> None:
         stack = [("", 0, False, True)]  # tag, element, whether its text is left out, whether an article may begin in it
@@ -157,28 +154,47 @@ class Page:
             stack.append((tag, element, out or mine, free))
         flush()
 
-    def tightest(self) -> int:
+    def content(self, furniture: Collection[int]) -> list[int]:
+        """Characters of content in each element, without blocks whose path is furniture."""
+        content = [0] * len(self.parent)
+        for element, _, n in self.blocks:
+            if self.path[element] not in furniture:
+                content[element] += n
+        for i in range(len(content) - 1, 0, -1):
+            content[self.parent[i]] += content[i]
+        return content
+
+    def tightest(self, content: list[int]) -> int:
         """The deepest container that holds most of the content; the page itself if there is none."""
         best = 0
-        for i, n in enumerate(self.content):
-            if n and n >= MOST * self.total and self.container[i] and self.depth[i] > self.depth[best]:
+        for i, n in enumerate(content):
+            if n and n >= MOST * content[0] and self.container[i] and self.depth[i] > self.depth[best]:
                 best = i
         return best
 
-    def text(self, path: int | None) -> str:
-        """The blocks of the container with this path that holds most content, or of the page's own best one."""
-        best = -1
-        for i, p in enumerate(self.path):
-            if p == path and self.container[i] and self.content[i] and (best < 0 or self.content[i] > self.content[best]):
-                best = i
-        best = self.tightest() if best < 0 else best
+    def inside(self, top: int) -> list[bool]:
         inside = [False] * len(self.parent)
-        inside[best] = True
-        for i in range(best + 1, len(inside)):
+        inside[top] = True
+        for i in range(top + 1, len(inside)):
             inside[i] = inside[self.parent[i]]
+        return inside
+
+    def outside(self) -> list[tuple[int, int]]:
+        """Path and hash, digits aside, of each content block outside the tightest container."""
+        inside = self.inside(self.tightest(self.content(())))
+        return [(self.path[element], _hash(_DIGITS.sub("", text))) for element, text, n in self.blocks if n and not inside[element]]
+
+    def text(self, furniture: Collection[int] | None) -> str:
+        """The blocks of the tightest container of what is not furniture; of all content if all is furniture."""
+        content = self.content(furniture or ())
+        inside = self.inside(self.tightest(content if content[0] else self.content(())))
         return " ".join(text for element, text, _ in self.blocks if inside[element])
 
 
+def _hash(text: str) -> int:
+    return int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
 def left_out(tag: str, attributes: dict[str, str], free: bool) -> tuple[bool, bool]:
     """Whether an element's text is none of the article's, and whether an article may still begin in it."""
     if tag in SKIPPED or tag in ASIDE:
@@ -202,34 +218,36 @@ def extract(pages: DataFrame) -> DataFrame:
 
     Character references are decoded, white space becomes one space, blocks follow in
     page order with one space between. Null or empty html, and pages that are all menus
-    and the like, give the empty text. Hosts come from ``url``; rows with none share one
-    vote. Repeated rows give a row each; other columns are left out. An empty table gives no rows.
+    and the like, give the empty text. Hosts come from ``url``; rows with none count as one
+    host. Repeated rows give a row each; other columns are left out. An empty table gives no rows.
     """
     rows = pages.select("page_id", "url", "html", F.coalesce(F.lower(F.regexp_extract("url", _HOST, 1)), F.lit("")).alias("host"))
 
-    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: dict[tuple[str, int], float] = {}
+            found: list[tuple[str, int, int, int]] = []
             for host, source in zip(batch.column("host").to_pylist(), texts(batch.column("html"))):
                 page = Page(source)
-                best = page.tightest()
-                if best:
-                    found[host, page.path[best]] = found.get((host, page.path[best]), 0) + page.content[best] / page.total
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.int64()), pa.array(found.values(), pa.float64())],
-                ["host", "path", "votes"],
-            )
-
-    votes = rows.select("host", "html").mapInArrow(vote, "host string, path long, votes double")
-    added = votes.groupBy("host", "path").agg(F.round(F.sum("votes"), 3).alias("votes"))
-    winners = cut(added.groupBy("host").agg(F.max_by("path", F.struct("votes", "path")).alias("path")), "paths")
+                blocks = page.outside()
+                if blocks:
+                    whole = _hash("\n".join(text for _, text, _ in page.blocks))
+                    found += [(host, path, text, whole) for path, text in blocks]
+            columns = zip(*found) if found else [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.string()] + [pa.int64()] * 3)], ["host", "path", "block", "page"])
+
+    # pages with the same blocks are one page, so copies of an article do not make furniture of it
+    asked = rows.select("host", "html").mapInArrow(ask, "host string, path long, block long, page long").distinct()
+    pages_of = asked.groupBy("host", "path", "block").agg(F.count("*").alias("n"))
+    repeated = F.sum(F.when(F.col("n") >= PAGES, F.col("n")).otherwise(0))
+    paths = pages_of.groupBy("host", "path").agg(F.sum("n").alias("n"), repeated.alias("repeated")).where("2 * repeated >= n")
+    furniture = cut(paths.groupBy("host").agg(F.collect_list("path").alias("furniture")), "furniture")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [Page(source).text(path) for source, path in zip(texts(batch.column("html")), batch.column("path").to_pylist())]
+            found = [Page(source).text(frozenset(paths or ())) for source, paths in zip(texts(batch.column("html")), batch.column("furniture").to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(found, pa.string())], ["page_id", "url", "text"])
 
     kinds = {f.name: f.dataType.simpleString() for f in pages.schema.fields}
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(
+    return rows.join(furniture, "host", "left").select("page_id", "url", "html", "furniture").mapInArrow(
         read, f"page_id {kinds['page_id']}, url {kinds['url']}, text string"
     )

@@ -39,3 +39,15 @@ def test_left_out_parts():
     <div role="complementary">more</div><div hidden>secret</div><noscript>js</noscript></body>"""
     assert Page(body).text(None) == "Head One two. Three"
     assert Page("<div>" * 3000 + "deep" + "</div>" * 3000).text(None) == "deep"
+
+
+def test_every_section_of_a_page(spark):
+    body = "Plain words of an article that differ from page to page, number {}. "
+    pages = [page(i, "one.example", f'<section class="part"><p>{body.format(chr(97 + i)) * 9}</p></section>') for i in range(6)]
+    pages.append(page(6, "one.example", "".join(f'<section class="part"><p>{w} {body.format(w)}</p></section>' for w in ("First", "Second", "Third"))))
+    pages.append(page(7, "one.example", f'<section class="part"><p>Few.</p></section><div class="rest"><p>{body.format("y") * 9}</p></div>'))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, path long")
+    got = {r.page_id: r.text for r in extract(frame).collect()}
+    assert got[0] == (body.format("a") * 9).strip()
+    assert got[6] == " ".join(f"{w} {body.format(w)}".strip() for w in ("First", "Second", "Third"))
+    assert body.format("y").strip() in got[7]

@@ -5,7 +5,8 @@ adverts, comments and the like do not count, the rest is content. The content ou
 deepest container with most of it goes to Spark by generalised path (tags and classes without
 digits); a path is furniture of the host if at least half of its texts stand on several
 different pages. The pages are read again with the furniture of their hosts: the deepest
-container with most of the other content is the article, all blocks in it follow in page order.
+container with all of the other content is the article, or the outermost <article> or <main>
+with all of it; all blocks in it follow in page order.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from assetloom.llm.common import texts
 from assetloom.session import cut
 
-#: The share of a page's content from which a container may be the article.
+#: The share of a page's content from which the content outside a container is asked about; none is dropped by it.
 MOST = 0.8
 #: Different pages of a host that hold a text, digits aside, which counts as repeated.
 PAGES = 3
@@ -62,7 +63,7 @@ class Page:
     """Elements in page order with parent, depth, path and whether they may be the article's container; text blocks."""
 
     def __init__(self, source: str):
-        self.parent, self.depth, self.path, self.container = [-1], [0], [0], [False]
+        self.parent, self.depth, self.path, self.container, self.named = [-1], [0], [0], [False], [False]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters outside links
         self._read(source)
 
@@ -151,6 +152,7 @@ class Page:
             self.depth.append(self.depth[above] + 1)
             self.path.append(crc32(f"{self.path[above]}/{tag}.{classes}".encode("utf-8", "replace")) | (len(tag) + len(classes) & 0x7F) << 32)
             self.container.append(tag not in TEXT and not (out or mine))
+            self.named.append(tag in ("main", "article"))
             stack.append((tag, element, out or mine, free))
         flush()
 
@@ -164,12 +166,14 @@ class Page:
             content[self.parent[i]] += content[i]
         return content
 
-    def tightest(self, content: list[int]) -> int:
-        """The deepest container that holds most of the content; the page itself if there is none."""
+    def tightest(self, content: list[int], share: float) -> int:
+        """The deepest container that holds this share of the content, or the outermost <article> or <main>; the page itself if there is none."""
         best = 0
         for i, n in enumerate(content):
-            if n and n >= MOST * content[0] and self.container[i] and self.depth[i] > self.depth[best]:
+            if n and n >= share * content[0] and self.container[i] and self.depth[i] > self.depth[best]:
                 best = i
+                if self.named[i]:
+                    break
         return best
 
     def inside(self, top: int) -> list[bool]:
@@ -181,13 +185,13 @@ class Page:
 
     def outside(self) -> list[tuple[int, int]]:
         """Path and hash, digits aside, of each content block outside the tightest container."""
-        inside = self.inside(self.tightest(self.content(())))
+        inside = self.inside(self.tightest(self.content(()), MOST))
         return [(self.path[element], _hash(_DIGITS.sub("", text))) for element, text, n in self.blocks if n and not inside[element]]
 
     def text(self, furniture: Collection[int] | None) -> str:
-        """The blocks of the tightest container of what is not furniture; of all content if all is furniture."""
+        """The blocks of the tightest container of all that is not furniture; of all content if all is furniture."""
         content = self.content(furniture or ())
-        inside = self.inside(self.tightest(content if content[0] else self.content(())))
+        inside = self.inside(self.tightest(content if content[0] else self.content(()), 1))
         return " ".join(text for element, text, _ in self.blocks if inside[element])
 
 

@@ -50,4 +50,18 @@ def test_every_section_of_a_page(spark):
     got = {r.page_id: r.text for r in extract(frame).collect()}
     assert got[0] == (body.format("a") * 9).strip()
     assert got[6] == " ".join(f"{w} {body.format(w)}".strip() for w in ("First", "Second", "Third"))
-    assert body.format("y").strip() in got[7]
+    assert got[7] == f"Few. {(body.format('y') * 9).strip()}"
+
+
+def test_lead_beside_body(spark):
+    long = "Plain words of an article that differ from page to page, number {}. "
+    inner = '<div class="lead"><p>Lead of {0}.</p></div><div class="body"><p>{1}</p></div>'
+    pages = []
+    for i in range(6):
+        words = inner.format(chr(97 + i), long.format(chr(97 + i)) * 9)
+        pages.append(page(i, "one.example", f"<article>{words}</article>"))
+        pages.append(page(10 + i, "two.example", f'<div class="post">{words}</div><div class="extra"><p>The same words {i}</p></div>'))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string, path long")
+    got = {r.page_id: r.text for r in extract(frame).collect()}
+    expected = [f"Lead of {chr(97 + i)}. {(long.format(chr(97 + i)) * 9).strip()}" for i in range(6)]
+    assert [got[i] for i in range(6)] == expected and [got[10 + i] for i in range(6)] == expected

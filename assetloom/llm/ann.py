@@ -3,9 +3,9 @@
 Centroids are fitted on a bounded sample by splitting it in two until every part
 is small, so lists are about equally long. All vectors are indexed: each goes to
 its nearest list, and a vector near a boundary also to others whose centroids are
-at most so many times as far away. Nearest centroids
-are found by a best-first search in a neighbour graph held in memory. A query reads
-the lists whose centroid is at most so many times as far away as the nearest one.
+at most so many times as far away. Centroids, a few thousand at most, are held in memory and
+all compared with each point in one matrix product. A query reads
+all lists whose centroid is at most so many times as far away as the nearest one.
 
 Inner products become distances by one more component that gives every vector
 the same length. Rows with equal vectors are one entry with the ids that can be
@@ -32,9 +32,6 @@ LIST_ROWS = 100
 MOST_LISTS = 4_096
 #: Entries of a list that are compared in one group.
 CHUNK_ROWS = 4_096
-#: Neighbours of a centroid in the graph, and centroids that a search keeps.
-DEGREE = 24
-BEAM = 128
 #: Lists of a boundary vector, and how much farther than the nearest they may be.
 COPIES = 6
 COPY_RATIO = 1.15
@@ -44,65 +41,35 @@ QUERY_RATIO = 1.3
 
 @dataclass
 class Index:
-    """Centroids, their neighbour graph and where searches begin."""
+    """Centroids of the lists."""
 
     centroids: np.ndarray
-    graph: np.ndarray
-    entries: np.ndarray
-
-    def search(self, points: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each point the nearest centroids found, nearest first, and their distances; -1 and inf where there are fewer."""
-        rows, many = len(points), len(self.centroids)
-        every = np.arange(rows)
-        seen = np.zeros((rows, many + 1), bool)
-        seen[:, many] = True
-        ids = np.tile(self.entries, (rows, 1))
-        seen[:, self.entries] = True
-        far = self._distance(points, ids)
-        done = np.zeros(ids.shape, bool)
-        while True:
-            waiting = np.where(done, np.inf, far)
-            place = waiting.argmin(1)
-            active = np.flatnonzero(np.isfinite(waiting[every, place]))
-            if not len(active):
-                break
-            node = ids[active, place[active]]
-            done[active, place[active]] = True
-            near = self.graph[node]
-            fresh = ~seen[active[:, None], near]
-            seen[active[:, None], near] = True
-            near = np.where(fresh, near, many)
-            distance = np.where(fresh, self._distance(points[active], np.minimum(near, many - 1)), np.inf)
-            all_ids, all_far, all_done = np.full((rows, near.shape[1]), many), np.full((rows, near.shape[1]), np.inf), np.ones((rows, near.shape[1]), bool)
-            all_ids[active], all_far[active], all_done[active] = near, distance, ~fresh
-            ids, far, done = np.hstack([ids, all_ids]), np.hstack([far, all_far]), np.hstack([done, all_done])
-            keep = np.argsort(far, 1, kind="stable")[:, :beam]
-            ids, far, done = (np.take_along_axis(x, keep, 1) for x in (ids, far, done))
-        order = np.argsort(far, 1, kind="stable")
-        ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
-        return np.where(np.isfinite(far), ids, -1), far
 
-    def _distance(self, points: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        gap = self.centroids[ids] - points[:, None, :]
-        return np.sqrt(np.einsum("ijk,ijk->ij", gap, gap))
+    def distances(self, points: np.ndarray) -> np.ndarray:
+        """From each point to every centroid."""
+        return np.sqrt(np.maximum(0, _square(points, self.centroids)))
 
     def lists(self, points: np.ndarray) -> list[np.ndarray]:
-        """The lists that each indexed point goes to."""
-        ids, far = self.search(points, max(16, 2 * COPIES))
-        close = (far <= COPY_RATIO * far[:, :1]) & (ids >= 0)
-        return [own[keep][:COPIES] for own, keep in zip(ids, close)]
+        """The lists that each indexed point goes to, nearest first."""
+        far = self.distances(points)
+        most = min(COPIES, far.shape[1])
+        ids = np.argpartition(far, most - 1, 1)[:, :most]
+        far = np.take_along_axis(far, ids, 1)
+        order = np.argsort(far, 1, kind="stable")
+        ids, far = np.take_along_axis(ids, order, 1), np.take_along_axis(far, order, 1)
+        return [own[keep] for own, keep in zip(ids, far <= COPY_RATIO * far[:, :1])]
 
     def probes(self, points: np.ndarray, sizes: np.ndarray, least: int) -> list[np.ndarray]:
-        """The lists that each query reads: those within the ratio, and more until they hold ``least`` entries.
+        """The lists that each query reads: all within the ratio, and more until they hold ``least`` entries.
 
-        An entry is in at most ``COPIES`` lists; where the beam's lists hold too few, all are read.
+        An entry is in at most ``COPIES`` lists; where all lists hold too few, all are read.
         """
         out = []
-        for own, distance in zip(*self.search(points, BEAM)):
-            own, distance = own[own >= 0], distance[own >= 0]
+        for distance in self.distances(points):
+            own = np.argsort(distance, kind="stable")
             enough = int(np.searchsorted(np.cumsum(sizes[own]), least * COPIES)) + 1
-            close = int(np.searchsorted(distance, QUERY_RATIO * distance[0] + 1e-12, "right"))
-            out.append(own[: max(enough, close)] if enough <= len(own) else np.flatnonzero(sizes))
+            close = int(np.count_nonzero(distance <= QUERY_RATIO * distance[own[0]] + 1e-12))
+            out.append(own[: max(enough, close)])
         return out
 
 
@@ -139,7 +106,7 @@ def split(points: np.ndarray, most: int, seed: int = 1) -> np.ndarray:
 
 
 def build(points: np.ndarray, lists: int) -> Index:
-    """An index of about ``lists`` centroids over sampled points."""
+    """An index of about ``lists`` lists over sampled points."""
     centroids = split(points, max(1, -(-len(points) // max(1, lists))))
     for _ in range(2):  # let the centroids settle
         nearest = np.concatenate([_square(points[a : a + 2048], centroids).argmin(1) for a in range(0, len(points), 2048)])
@@ -148,21 +115,7 @@ def build(points: np.ndarray, lists: int) -> Index:
         np.add.at(total, nearest, points)
         centroids = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], centroids)
         centroids *= (np.linalg.norm(points[0]) / np.maximum(np.linalg.norm(centroids, axis=1), 1e-300))[:, None]  # onto the points' sphere
-    many = len(centroids)
-    degree = min(DEGREE, many - 1)
-    graph = np.zeros((many, max(1, degree) + 2), np.int64)
-    for a in range(0, many, 512):
-        far = _square(centroids[a : a + 512], centroids)
-        far[np.arange(len(far)), np.arange(a, a + len(far))] = np.inf
-        if degree:
-            graph[a : a + 512, :degree] = np.argpartition(far, degree - 1, 1)[:, :degree]
-    graph[:, -2] = (np.arange(many) + 1) % many  # a ring keeps the graph connected
-    graph[:, -1] = (np.arange(many) * 7919 + 13) % many
-    for node, row in enumerate(graph):  # a neighbour that is named twice would be found twice
-        again = np.ones(len(row), bool)
-        again[np.unique(row, return_index=True)[1]] = False
-        row[again] = node
-    return Index(centroids, graph, np.unique(np.linspace(0, many - 1, min(many, 16)).astype(np.int64)))
+    return Index(centroids)
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -60,3 +60,25 @@ def test_edges(spark):
     assert recall(ann.nearest(frame, "vec_id % 20 = 0", 20).collect(), brute(rows, 2, 20), 20) == 1
     assert ann.nearest(frame.limit(0), "vec_id % 20 = 0").count() == 0
     assert ann.nearest(frame.where("vec_id = 0"), "vec_id % 20 = 0").count() == 0
+
+
+def test_thousands_of_lists():
+    chance = np.random.default_rng(2)
+    centre = chance.normal(size=(10, 64))
+    vectors = centre[chance.integers(0, 10, 30_000)] + 1.5 * chance.normal(size=(30_000, 64))
+    vectors /= np.linalg.norm(vectors, axis=1)[:, None]
+    points = ann.lift(vectors, 1 + 1e-12)
+    index = ann.build(points, 3_000)
+    assert len(index.centroids) > 2_000
+    gap = np.sqrt(np.maximum(0, ann._square(points[:2_000], index.centroids)))
+    dealt = [own for at in range(0, len(points), 1024) for own in index.lists(points[at : at + 1024])]
+    for own, far in zip(dealt, gap):
+        near = [i for i in np.argsort(far) if far[i] <= ann.COPY_RATIO * far.min()][: ann.COPIES]
+        assert set(own) == set(near)
+    sizes = np.bincount(np.concatenate(dealt), minlength=len(index.centroids))
+    queries, wide = np.arange(0, 2_000, 20), 0
+    for q, own in zip(queries, index.probes(points[queries], sizes, 21)):
+        within = set(np.flatnonzero(gap[q] <= ann.QUERY_RATIO * gap[q].min()))
+        assert within <= set(own)
+        wide += len(within) > 128
+    assert wide

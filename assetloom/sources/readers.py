@@ -25,11 +25,11 @@ def path_exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = False) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """A required CSV file with a header; a missing path raises.
 
-    ``multi_line`` allows line breaks in quoted values, at the price of one task
-    per file; without it large files are split. With a schema, columns are matched by header name and columns the file
+    Quoted values may hold line breaks, at the price of one task per file. Files known to hold
+    none can be split with ``multi_line=False``, which breaks a record at any line break. With a schema, columns are matched by header name and columns the file
     lacks are left out, so no pass over the data is spent on inference.
     """
     reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
@@ -48,7 +48,7 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_li
 
 
 def read_optional_csv(
-    spark: SparkSession, path: str | None, schema: str | None = None, multi_line: bool = False
+    spark: SparkSession, path: str | None, schema: str | None = None, multi_line: bool = True
 ) -> DataFrame | None:
     """A CSV file that may be missing (then ``None``); column names come back in lower case."""
     if not path or not path_exists(spark, path):
@@ -56,11 +56,11 @@ def read_optional_csv(
     return lower_names(read_csv(spark, path, schema, multi_line))
 
 
-def read_entity(spark: SparkSession, name: str, path: str) -> DataFrame:
+def read_entity(spark: SparkSession, name: str, path: str, multi_line: bool = True) -> DataFrame:
     """A stage input by entity name, typed from the schema registry; CSV or Parquet."""
     if path.rstrip("/").endswith(".parquet"):
         return spark.read.parquet(path)
-    return read_csv(spark, path, ENTITIES[name])
+    return read_csv(spark, path, ENTITIES[name], multi_line)
 
 
 def read_pages(spark: SparkSession, path: str, record_schema: str, page_pattern: str = r"(\d+)\D*$") -> DataFrame:

@@ -9,7 +9,9 @@ from assetloom.functions.values import whole_text
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    """CSV with a header; values keep their line breaks and their white space at both ends."""
+    kept = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).option("header", True).option("escape", '"').options(**kept).csv(path)
 
 
 def float_columns(df: DataFrame) -> list[str]:

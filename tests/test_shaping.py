@@ -244,3 +244,14 @@ def test_dates_do_not_depend_on_the_zone(spark):
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
     assert got == ["2024-01-05", "2024-01-05", "2024-01-04"]
+
+
+def test_line_breaks_in_csv_values(spark, tmp_path):
+    (tmp_path / "v.csv").write_text('ID,Name,Address\n1,"A, first","12 High Street\nTown"\n2,B,"\r\nend\n"\n', newline="")
+    expected = [(1, "A, first", "12 High Street\nTown"), (2, "B", "\r\nend\n")]
+    assert [(int(r.ID), r.Name, r.Address) for r in readers.read_entity(spark, "vendors", str(tmp_path / "v.csv")).collect()] == expected
+    values = ["a\nb", "\nfirst", "last\n", "a\r\nb", "a\rb", ' "quoted"\n, too ', "plain"]
+    rows = [(i, v) for i, v in enumerate(values)]
+    writers.write_csv(spark.createDataFrame(rows, "id long, name string"), str(tmp_path / "out"))
+    back = readers.read_optional_csv(spark, str(tmp_path / "out"), "id BIGINT, name STRING")
+    assert sorted((r.id, r.name) for r in back.collect()) == rows

@@ -72,3 +72,16 @@ def test_edges(spark):
         one = toxicity.train(docs.select("doc_id", "text"), labels.where(f"toxic = {only}"))
         assert {r.score > 0.5 for r in toxicity.score_documents(table(spark), one).collect()} == {bool(only)}
     assert {r.score > 0.5 for r in toxicity.score_documents(table(spark), toxicity.train(docs.select("doc_id", "text"), labels.limit(0))).collect()} == {False}
+
+
+def test_rare_toxic_word_in_many_labels(spark):
+    pick = random.Random(3)
+    words = [f"{a}{b}" for a in "the an of in er st".split() for b in "al or em ut ing ea".split()]
+    rows = []
+    for i in range(6_000):
+        rare = " vilest" if i % 2 and i < 20 else ""  # 10 of 3,000 toxic documents
+        rows.append((i, " ".join(pick.choice(words) for _ in range(12)) + (" grubby" if i % 2 and not rare else "") + rare, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
+    own = toxicity.tokenise(np.frombuffer(b"vilest", np.uint8), np.array([0, 6]))
+    assert model.weights(own).max() > 0

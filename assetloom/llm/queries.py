@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import ann, bpe, exact_dedup, html_extract, jaccard, language, line_dedup, packing, token_counts, toxicity
+from assetloom.llm import ann, bpe, exact_dedup, fill_in_middle, html_extract, jaccard, language, line_dedup, packing, token_counts, toxicity
 from assetloom.llm.common import table
 
 
@@ -96,6 +96,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    samples = fill_in_middle.restore(fill_in_middle.transform(table(spark, sf_dir, "documents")))
+    return samples.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars",
+        F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"),
+    )
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
@@ -107,6 +115,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op12_fill_in_middle": op12_fill_in_middle,
 }
 
 SQL = {
@@ -173,4 +182,25 @@ SQL = {
         )
         SELECT doc_id, keep_id, group_size, place = 1 AS kept, sha256(norm) AS text_sha256 FROM ranked
     """,
+    "op12_fill_in_middle": """
+        WITH seeds AS (
+            SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents
+        ), numbers AS (
+            SELECT doc_id, t, n, ('0x' || h[1:8])::BIGINT % (n + 1) AS one, ('0x' || h[9:16])::BIGINT % (n + 1) AS two,
+                   ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4
+            FROM seeds
+        ), cuts AS (
+            SELECT doc_id, t, n, least(one, two) AS a, greatest(one, two) AS b,
+                   CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 >= 90 THEN 'plain'
+                        WHEN h4 < 20 THEN 'spm' ELSE 'psm' END AS form
+            FROM numbers
+        ), parts AS (
+            SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM cuts
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                      ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+               sha256(t) AS restored_sha256
+        FROM parts
+    """,
 }

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import ann, bpe, exact_dedup, fill_in_middle, html_extract, jaccard, language, line_dedup, packing, token_counts, toxicity
+from assetloom.llm import alignment, ann, bpe, exact_dedup, fill_in_middle, html_extract, jaccard, language, line_dedup, packing, token_counts, toxicity
 from assetloom.llm.common import table
 
 
@@ -104,6 +104,11 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align_documents(table(spark, sf_dir, "documents"), *paths).documents.drop("groups")
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_bpe": op2_bpe,
@@ -116,6 +121,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
     "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_alignment": op13_alignment,
 }
 
 SQL = {

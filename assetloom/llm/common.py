@@ -14,8 +14,7 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
-_BYTE_VALUE = np.random.default_rng(20240607).integers(1, 2**63, 256, dtype=np.uint64)
-_BASE = 0x9E3779B97F4A7C15 | 1
+_U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,21 +50,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse modulo 2**64, grown as needed."""
-
-    up = np.ones(1, np.uint64)
-    down = np.ones(1, np.uint64)
-
-    @classmethod
-    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(cls.up) < n:
-            n = max(n, _BLOCK + 1)
-            grow = lambda base: np.cumprod(np.append(np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)))
-            cls.up, cls.down = grow(_BASE), grow(pow(_BASE, -1, 1 << 64))
-        return cls.up, cls.down
-
-
 def _blocks(space: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int]]:
     """Ranges of a quarter of a megabyte or so that end at white space or a row's end, so that no word is cut."""
     at, n = 0, len(space)
@@ -103,12 +87,14 @@ def words(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray = _SPACE, prefi
         last = word.copy()
         last[:-1] &= ~word[1:] | first[lo + 1 : hi]
         ends = np.flatnonzero(last) + 1
-        up, down = _Powers.get(hi - lo + 1)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTE_VALUE[_LOWER[data[lo:hi]]] * up[: hi - lo], out=sums[1:])
+        # A word's hash is a sum of one random number for each byte at its place in the word.
+        at = np.arange(hi - lo)
+        place = at - np.maximum.accumulate(np.where(begin, at, 0))
+        sums = np.zeros(hi - lo + 1, _U)
+        np.cumsum(mix(_LOWER[data[lo:hi]] + place.astype(_U) * _U(256) + _U(0x9E3779B97F4A7C15)), out=sums[1:])
 
         def value(to: np.ndarray) -> np.ndarray:
-            return mix((sums[to] - sums[starts]) * down[starts] + (to - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+            return mix(sums[to] - sums[starts] + (to - starts).astype(_U) * _U(0xD6E8FEB86659FD93))
 
         parts = [np.where(ends - starts >= n, value(np.minimum(starts + n, ends)) ^ np.uint64(n), np.uint64(0)) for n in prefixes]
         yield starts + lo, ends + lo, value(ends), parts

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assetloom.llm import alignment, ann, bpe, exact_dedup, fill_in_middle, html_extract, jaccard, language, line_dedup, packing, token_counts, toxicity
+from assetloom.llm import alignment, ann, bpe, exact_dedup, fill_in_middle, html_extract, jaccard, language, line_dedup, minhash, packing, token_counts, toxicity
 from assetloom.llm.common import table
 
 
@@ -96,6 +96,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), n=4, percent=80)
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     samples = fill_in_middle.restore(fill_in_middle.transform(table(spark, sf_dir, "documents")))
     return samples.select(
@@ -120,31 +124,36 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_minhash": op11_minhash,
     "op12_fill_in_middle": op12_fill_in_middle,
     "op13_alignment": op13_alignment,
 }
 
+#: Components of near duplicates; ``{percent}`` is the least similarity.
+NEAR_SQL = r"""
+    WITH RECURSIVE listed AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
+        FROM listed
+    ), grams AS (
+        SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
+    ), near AS (
+        SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
+        GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= {percent} * (min(a.n) + min(b.n) - count(*))
+    ), reach(x, y) AS (
+        SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x
+    )
+    SELECT sets.doc_id, len(s) AS n_shingles, min(reach.y) AS component_id
+    FROM sets JOIN reach ON sets.doc_id = reach.x GROUP BY sets.doc_id, len(s)
+"""
+
 SQL = {
-    "op7_jaccard": r"""
-        WITH RECURSIVE listed AS (
-            SELECT doc_id, regexp_extract_all(
-                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-            FROM documents
-        ), sets AS (
-            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-                ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS s
-            FROM listed
-        ), grams AS (
-            SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets
-        ), near AS (
-            SELECT a.doc_id AS x, b.doc_id AS y FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id
-            GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 85 * (min(a.n) + min(b.n) - count(*))
-        ), reach(x, y) AS (
-            SELECT doc_id, doc_id FROM documents UNION SELECT reach.x, near.y FROM reach JOIN near ON reach.y = near.x
-        )
-        SELECT sets.doc_id, len(s) AS n_shingles, min(reach.y) AS component_id
-        FROM sets JOIN reach ON sets.doc_id = reach.x GROUP BY sets.doc_id, len(s)
-    """,
+    "op7_jaccard": NEAR_SQL.format(percent=85),
+    "op11_minhash": f"SELECT *, doc_id = component_id AS kept FROM ({NEAR_SQL.format(percent=80)})",
     "op8_line_dedup": r"""
         WITH split AS (
             SELECT doc_id, str_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL

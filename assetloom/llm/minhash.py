@@ -38,7 +38,7 @@ BINS = ROWS * BANDS
 #: Random bins an empty bin tries before it takes the next full one.
 PROBES = 64
 #: Stars that every bucket draws before its members meet in blocks.
-ROUNDS = 4
+ROUNDS = 2
 #: Members of a bucket on either side of a block.
 BLOCK_ROWS = 2_000
 _U = np.uint64
@@ -117,8 +117,8 @@ def _texts(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
             found = [name(g) if len(g) else None for g in shingle_sets(batch.column("text"), n)]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), batch.column("text")], ["name", "text"])
 
-    wanted = docs["doc_id"].eqNullSafe(sets["rep"])
-    own = docs.select("doc_id", "text").join(sets.select("rep").distinct(), wanted, "left_semi").select("text")
+    sets = cut(sets, "wanted")  # written first, so that the plan knows its size before any text is shuffled
+    own = docs.select("doc_id", "text").join(sets.select("rep"), docs["doc_id"].eqNullSafe(sets["rep"]), "left_semi").select("text")
     found = own.mapInArrow(named, "name binary, text string").join(sets.select("set_id", "name"), "name")
     return found.groupBy("set_id").agg(F.min("text").alias("text"))
 
@@ -223,18 +223,19 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     for turn in range(ROUNDS):
         centre = left.groupBy("key").agg(F.min_by(F.struct("set_id", "label"), F.xxhash64("set_id", F.lit(turn))).alias("centre"))
         stars = left.join(centre, "key")
-        edges = stars.where("label <> centre.label").groupBy(F.col("set_id").alias("a"), F.col("centre.set_id").alias("b")).agg(
-            F.first("label").alias("x"), F.first("centre.label").alias("y")
-        )
+        edges = stars.where("label <> centre.label").select(F.col("set_id").alias("a"), F.col("centre.set_id").alias("b")).distinct()
         edges = cut(edges, "edges")
+        links = None
         if turn == 0:  # one centre first: a copy has many centres, and one link to its group is enough
             one = edges.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b"))
-            labels = merged(labels, verified(one, known, whole, n, percent))
+            links = verified(one, known, whole, n, percent)
+            star = links.select(F.col("a").alias("set_id"), F.col("b").alias("star"))
             edges = edges.join(one, ["a", "b"], "left_anti").select("a", "b")
-            for c, l in (("a", "x"), ("b", "y")):
-                edges = edges.join(labels.select(F.col("node").alias(c), F.col("label").alias(l)), c)
-            edges = edges.where("x <> y")
-        labels = merged(labels, verified(edges.select("a", "b"), known, whole, n, percent))
+            for c in ("a", "b"):
+                edges = edges.join(star.select(F.col("set_id").alias(c), F.col("star").alias(f"{c}_star")), c, "left")
+            edges = edges.where(F.coalesce("a_star", "a") != F.coalesce("b_star", "b")).select("a", "b")
+        more = verified(edges.select("a", "b"), known, whole, n, percent)
+        labels = merged(labels, more if links is None else links.union(more))
         before, left = left, _relabelled(stars.where("set_id <> centre.set_id"), labels)
         discard(before)
         if left.isEmpty():

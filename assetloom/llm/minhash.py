@@ -7,12 +7,13 @@ bin agrees in two documents with a probability of their Jaccard similarity. ``RO
 band; documents with an equal band share a bucket.
 
 Buckets are not expanded into pairs. Every bucket draws one member as the centre of a star, and
-the others are compared to it, unless a component already holds both. The centre has then met all
-members and leaves the bucket; buckets whose members are one component are done, so a bucket
-of few members ends after few rounds and a large group of copies needs about one comparison a
-member. Members of large buckets that are still apart after ``ROUNDS`` stars meet in blocks
-inside of tasks: first each names its likeliest partner only, until that merges no more, then
-all pairs that may be linked by their sizes and parity bits are compared. No bucket is capped.
+the others are compared to it, so a bucket sends one pair a member. The centre has then met all
+members and leaves the bucket; buckets whose members are one component are done, so most
+buckets, of few members or of copies, end there. Members of larger buckets that are still apart
+meet in blocks inside of tasks: ``LIKELIEST`` times each names its likeliest partner only, then all
+pairs of different components that may be linked by their sizes and parity bits are compared. No
+bucket is capped, and every pair in one bucket is either compared, ruled out by a bound, or in one
+component already.
 
 The one thing left to chance is the banding: two documents at a similarity of 0.8 share no bucket
 with a probability of 5e-9, more similar ones with less (``miss``).
@@ -37,8 +38,9 @@ ROWS, BANDS = 5, 48
 BINS = ROWS * BANDS
 #: Random bins an empty bin tries before it takes the next full one.
 PROBES = 64
-#: Stars that every bucket draws before its members meet in blocks.
-ROUNDS = 2
+#: Stars that every bucket draws before its members meet in blocks, and rounds in which they name their likeliest partners only.
+STARS = 1
+LIKELIEST = 2
 #: Members of a bucket on either side of a block.
 BLOCK_ROWS = 2_000
 _U = np.uint64
@@ -215,40 +217,28 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     first = signed.drop("doc_id", "name").join(named.select("set_id"), F.col("row") == F.col("set_id")).drop("row")
     sets = cut(first, "sets")
     sent = sets.select("set_id", F.explode("keys").alias("key"))
-    shared = cut(mixed(sent.withColumn("label", F.col("set_id"))), "members")
+    several = sent.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low <> high").select("key")
+    # By a merge at every size: a list of keys small enough to be sent around is the exception here.
+    shared = cut(sent.join(several.hint("merge"), "key").withColumn("label", F.col("set_id")), "members")
     left = shared
     known = sets.select("set_id", "n_shingles", "bits")
     labels = cut(shared.select(F.col("set_id").alias("node"), F.col("set_id").alias("label")).distinct(), "labels")
     whole = cut(_texts(docs, named.join(labels.select(F.col("node").alias("set_id")), "set_id"), n), "texts")
-    for turn in range(ROUNDS):
+    for turn in range(STARS):
         centre = left.groupBy("key").agg(F.min_by(F.struct("set_id", "label"), F.xxhash64("set_id", F.lit(turn))).alias("centre"))
         stars = left.join(centre, "key")
         edges = stars.where("label <> centre.label").select(F.col("set_id").alias("a"), F.col("centre.set_id").alias("b")).distinct()
-        edges = cut(edges, "edges")
-        links = None
-        if turn == 0:  # one centre first: a copy has many centres, and one link to its group is enough
-            one = edges.groupBy("a").agg(F.min_by("b", F.xxhash64("b", F.lit(turn))).alias("b"))
-            links = verified(one, known, whole, n, percent)
-            star = links.select(F.col("a").alias("set_id"), F.col("b").alias("star"))
-            edges = edges.join(one, ["a", "b"], "left_anti").select("a", "b")
-            for c in ("a", "b"):
-                edges = edges.join(star.select(F.col("set_id").alias(c), F.col("star").alias(f"{c}_star")), c, "left")
-            edges = edges.where(F.coalesce("a_star", "a") != F.coalesce("b_star", "b")).select("a", "b")
-        more = verified(edges.select("a", "b"), known, whole, n, percent)
-        labels = merged(labels, more if links is None else links.union(more))
+        labels = merged(labels, verified(edges, known, whole, n, percent))
         before, left = left, _relabelled(stars.where("set_id <> centre.set_id"), labels)
         discard(before)
+    for likeliest in [True] * LIKELIEST + [False]:
         if left.isEmpty():
             break
-    else:
-        for likeliest in (True, False):
-            while not left.isEmpty():
-                links = verified(cut(_blocks(left, known, percent, likeliest), "blocks"), known, whole, n, percent)
-                labels = merged(labels, links)
-                if not likeliest or links.isEmpty():
-                    break
-                before, left = left, _relabelled(left, labels)
-                discard(before)
+        links = verified(cut(_blocks(left, known, percent, likeliest), "blocks"), known, whole, n, percent)
+        labels = merged(labels, links)
+        if likeliest:
+            before, left = left, _relabelled(left, labels)
+            discard(before)
     found = named.join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     found = cut(found.select("name", "rep", F.coalesce("label", "set_id").alias("label")), "components")
     smallest = found.groupBy("label").agg(F.min("rep").alias("component"))

@@ -19,11 +19,12 @@ def test_against_brute_force(spark, n, percent):
     assert same([tuple(r) for r in minhash.near_duplicates(docs, n, percent).collect()], with_kept(brute(rows, n, percent)))
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 2])
-def test_large_group_in_small_blocks(spark, monkeypatch, rounds):
+@pytest.mark.parametrize(("stars", "likeliest"), [(0, 0), (1, 2), (3, 1)])
+def test_large_group_in_small_blocks(spark, monkeypatch, stars, likeliest):
     """Copies of one text with so many changes that many pairs are not linked, by stars and by blocks."""
     monkeypatch.setattr(minhash, "BLOCK_ROWS", 7)
-    monkeypatch.setattr(minhash, "ROUNDS", rounds)
+    monkeypatch.setattr(minhash, "STARS", stars)
+    monkeypatch.setattr(minhash, "LIKELIEST", likeliest)
     pick = random.Random(9)
     base = [f"w{i}" for i in range(80)]
     rows = []

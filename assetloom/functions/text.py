@@ -2,10 +2,6 @@
 
 from __future__ import annotations
 
-import ast
-import json
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,61 +9,65 @@ from pyspark.sql import types as T
 MAP_TYPE = T.MapType(T.StringType(), T.StringType())
 ADDRESS_PARTS = ["line1", "city", "state", "country", "zipcode"]
 
-# A quoted string of a Python literal, in either quote style.
-_QUOTED = r"""'[^'\\]*'|"[^"\\]*\""""
-# Words that Python writes bare and JSON spells differently, as a whole value.
-_BARE = r"(?<=[:,\[\{{] ?){word}(?=\s*[,\}}\]])"
+# Tokens of a dict literal: a quoted string in either style, or what stands between strings.
+_TOKEN = r"""(?s)'[^'\\]*+(?:\\.[^'\\]*+)*+'|"[^"\\]*+(?:\\.[^"\\]*+)*+"|[^'"]++|['"]"""
+# Between strings: words that Python spells differently, tuples, a comma before a closing bracket, keys without quotes.
+_BETWEEN = [
+    (r"\bNone\b", "null"), (r"\bTrue\b", "true"), (r"\bFalse\b", "false"), (r"\(", "["), (r",?\s*\)", "]"), (r",\s*([\]}])", "$1"),
+    (r"([{,]\s*)(-?[0-9][0-9.eE+-]*|true|false|null)(\s*:)", '$1"$2"$3'), (r"\s+", " "),
+]
+# Inside a string, without its doubled backslashes: escapes that JSON spells differently.
+_ESCAPES = [
+    (r"\\'", "'"), (r"\\x([0-9a-fA-F]{2})", r"\\u00$1"), (r"\\a", r"\\u0007"), (r"\\v", r"\\u000b"), (r"\\\r?\n", ""),
+    (r'\\([^"bfnrtuU])', r"\\\\$1"), (r'(?<!\\)"', r'\\"'), (r"\t", r"\\t"), (r"\n", r"\\n"), (r"\r", r"\\r"),
+]
 
 
-def _literal_to_text(value):
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, (dict, list, tuple, bool)):
-        return json.dumps(value, separators=(",", ":"), default=str)
-    return str(value)
+def _replaced(text: Column, rules: list[tuple[str, str]]) -> Column:
+    for pattern, by in rules:
+        text = F.regexp_replace(text, pattern, by)
+    return text
 
 
-@F.pandas_udf(MAP_TYPE)
-def _literal_map(texts: pd.Series) -> pd.Series:
-    def parse(text):
-        if text is None:
-            return None
-        try:
-            value = ast.literal_eval(text.strip())
-        except (ValueError, SyntaxError, MemoryError, RecursionError):
-            return None
-        if not isinstance(value, dict):
-            return None
-        return {str(k): _literal_to_text(v) for k, v in value.items()}
+def _wide(text: Column) -> Column:
+    r"""Eight-digit escapes ``\U`` as the two four-digit ones that JSON has for them."""
 
-    return texts.map(parse, na_action="ignore").astype(object).where(texts.notna(), None)
+    def pair(part: Column) -> Column:
+        code = F.conv(F.substring(part, 1, 8), 16, 10).cast("bigint")
+        above = code - 0x10000
+        high, low = F.lit(0xD800) + F.shiftright(above, 10), F.lit(0xDC00) + above.bitwiseAND(F.lit(0x3FF))
+        four = lambda v: F.concat(F.lit("\\u"), F.lpad(F.hex(v), 4, "0"))
+        return F.concat(F.when(above < 0, four(code)).otherwise(F.concat(four(high), four(low))), F.substring(part, 9, 1 << 30))
 
+    parts = F.split(text, r"\\U", -1)
+    rest = F.transform(F.slice(parts, 2, F.size(parts)), pair)
+    return F.when(text.contains("\\U"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(text)
 
-def json_dict(text: Column) -> Column:
-    """The JVM's part: the JSON reader, after the bare words are respelled where there are any.
 
-    Null for texts it refuses, for texts with escapes, and where a quoted value
-    holds what looks like a bare word.
-    """
-    plain = ~text.rlike(r"None|True|False|\\")
-    outside = F.regexp_replace(text, _QUOTED, "''")
-    respelled, odd = text, text.contains("\\")
-    for word, json_word in (("None", "null"), ("True", "true"), ("False", "false")):
-        pattern = _BARE.format(word=word)
-        odd = odd | (F.regexp_count(text, F.lit(pattern)) != F.regexp_count(outside, F.lit(pattern)))
-        respelled = F.regexp_replace(respelled, pattern, json_word)
-    return F.when(plain, F.from_json(text, MAP_TYPE)).when(~odd, F.from_json(respelled, MAP_TYPE))
+def literal_to_json(text: Column) -> Column:
+    """The JSON text of a literal of strings, numbers, None, True, False, lists, tuples and dicts, as ``repr`` writes them."""
 
+    def token(t: Column) -> Column:
+        inner = F.substring(t, F.lit(2), F.length(t) - 2)
+        spelled = lambda part: _wide(_replaced(part, _ESCAPES))
+        # A doubled backslash is the same in JSON, and without them every backslash begins its own escape.
+        string = F.when(inner.contains("\\"), F.array_join(F.transform(F.split(inner, r"\\\\", -1), spelled), "\\\\"))
+        string = string.otherwise(_replaced(inner, _ESCAPES[-4:]))
+        quoted = F.length(t).__gt__(1) & (t.startswith("'") | t.startswith('"'))
+        return F.when(quoted, F.concat(F.lit('"'), string, F.lit('"'))).otherwise(_replaced(t, _BETWEEN))
 
-def or_literal(parsed: Column, text: Column) -> Column:
-    """``parsed``, else the text read as a Python literal in Arrow batches, else an empty map."""
-    rest = F.when(parsed.isNull() & text.isNotNull(), text)
-    return F.coalesce(parsed, _literal_map(rest), F.from_json(F.lit("{}"), MAP_TYPE))
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0)), token), "")
 
 
 def dict_literal(text: Column) -> Column:
-    """Dict-literal or JSON-object text to ``map<string,string>``; bad text gives an empty map."""
-    return or_literal(json_dict(text), text)
+    """Dict-literal or JSON-object text to ``map<string,string>``; bad text gives an empty map.
+
+    Texts that the JSON reader takes as they are (it knows both quote styles) go straight to it;
+    others are spelled as JSON first. Values other than strings come as their JSON text.
+    """
+    plain = ~text.rlike(r"None|True|False|\\|\(")
+    read = F.coalesce(F.when(plain, F.from_json(text, MAP_TYPE)), F.from_json(literal_to_json(text), MAP_TYPE))
+    return F.coalesce(read, F.from_json(F.lit("{}"), MAP_TYPE))
 
 
 def parse_address(text: Column) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assetloom.functions.text import json_dict, match_key, or_literal
+from assetloom.functions.text import dict_literal, match_key
 from assetloom.functions.values import normalise_date, to_count, to_long, to_time
+from assetloom.session import cut
 
 # Columns typed as whole numbers and as text after each file read.
 INT_COLUMNS = ["purchase_id", "asset_type_id", "asset_id", "vendor_id", "product_id", "display_id", "count"]
@@ -46,17 +47,26 @@ def once(df: DataFrame, value, out: str) -> DataFrame:
 
 def with_bag(df: DataFrame, column: str, out: str) -> DataFrame:
     """Add the attribute bag of a dict-literal text column as ``map<string,string>``."""
-    parsed = once(df, json_dict(col(column)), "_json")
-    return once(parsed, or_literal(F.col("_json"), col(column)), out).drop("_json")
+    return once(df, dict_literal(col(column)), out)
 
 
-def bag_keys(df: DataFrame, column: str = "type_fields") -> list[str]:
-    """The distinct attribute names over all rows (one action; the names become columns).
+def _parsed_once(df: DataFrame, column: str) -> DataFrame:
+    """``df`` with its bags as ``_bag`` instead of their text, parsed and written in one pass.
+
+    A table of fewer partitions than cores is spread first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    few = df.select(F.spark_partition_id()).rdd.getNumPartitions() < cores
+    spread = df.repartition(cores) if few else df
+    return cut(with_bag(spread, column, "_bag").drop(column), "bags")
+
+
+def bag_keys(parsed: DataFrame) -> list[str]:
+    """The distinct attribute names of all ``_bag`` (one action; the names become columns).
 
     Where names are not a small vocabulary, use ``bag_rows``, which needs no list of them.
     """
-    names = with_bag(df.select(col(column)), column, "_bag").select(F.explode(F.map_keys("_bag")).alias("k")).distinct()
-    return sorted(r.k for r in names.collect())
+    return sorted(r.k for r in parsed.select(F.explode(F.map_keys("_bag")).alias("k")).distinct().collect())
 
 
 def bag_rows(df: DataFrame, key: str, column: str = "type_fields") -> DataFrame:
@@ -67,15 +77,17 @@ def bag_rows(df: DataFrame, key: str, column: str = "type_fields") -> DataFrame:
 def flatten_bag(df: DataFrame, column: str = "type_fields", keys: list[str] | None = None) -> DataFrame:
     """One text column per attribute name; the attribute bag itself is dropped.
 
-    Give ``keys`` to skip the action that discovers the names.
+    The bags are parsed once: names and values come from the same written copy. With given
+    ``keys`` there is neither a copy nor an action.
     """
-    keys = bag_keys(df, column) if keys is None else keys
     others = [c for c in df.columns if c != column]
+    parsed = _parsed_once(df, column) if keys is None else with_bag(df, column, "_bag")
+    keys = bag_keys(parsed) if keys is None else keys
     clash = sorted(set(others) & set(keys))
     if clash:
         raise ValueError(f"attribute names already used as columns: {clash}")
     attributes = [F.try_element_at("_bag", F.lit(k)).alias(k) for k in keys]
-    return with_bag(df, column, "_bag").select(*[col(c) for c in others], *attributes)
+    return parsed.select(*[col(c) for c in others], *attributes)
 
 
 def strip_suffixes(df: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
 """Exact best-k similarity search between two tables of texts.
 
-Targets are range-sharded in text order into shards of bounded size, and a
-directory keeps per shard the length range, the most occurrences of each
-character class, and the position and date ranges. Each query first visits the
-shard where its own text would sort (its likely best neighbours), then only
-the shards whose score bound still reaches its k-th best so far. Inside a
-shard the same bound is applied pair by pair before the exact score.
+Targets are cut into shards of bounded size, in the order of a tree that splits texts
+by how often they hold a character class, so that texts of a shard have similar
+characters. A directory keeps per shard the length range, the most occurrences of
+each character class, and the position and date ranges. Each query first visits the
+shard where its own text would stand (its likely best neighbours), then the
+shards of the highest score bounds, a few more in each round, as long as a
+bound still reaches its k-th best so far. Inside a shard the same bound is applied
+pair by pair before the exact score.
 
 Nothing is lost: a shard or pair is skipped only when its bound proves that it
 cannot enter the best k. No pair table is built: a visit returns at most k
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.functions.similarity import SCORERS, Texts, codes_of, overlap_matrix, score_bound
+from assetloom.functions.similarity import CLASSES, SCORERS, Texts, codes_of, overlap_matrix, score_bound
 from assetloom.functions.values import DAY_MICROS
 from assetloom.operators.ranking import dense_ids
 from assetloom.session import cut
@@ -35,6 +37,13 @@ SHARD_ROWS = (256, 16_384)
 CHUNK_ROWS = (256, 8_192)
 GROUP_CHARS = 256_000_000
 MATRIX_CELLS = 2_000_000
+#: Shards by descending bound that a query may visit up to the first, second, ... round after its home; the last round visits the rest.
+ROUND_ENDS = (4, 24)
+#: With up to this many shards one round after the home visits them all.
+FEW_SHARDS = 16
+#: Targets (chosen by a hash) whose character counts shape the tree, and the least of them in a leaf.
+TREE_SAMPLE = 131_072
+LEAF_SAMPLE = 8
 HIT_SCHEMA = "qid BIGINT, tid BIGINT, tpos BIGINT, score DOUBLE, gap BIGINT"
 
 # Optional columns and the value that makes each of them inert.
@@ -67,6 +76,82 @@ class Index:
     shards: DataFrame
     directory: object
     rule: Rule
+    tree: object = None
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Splits by occurrences of a character class: from ``cut`` on a text goes to ``right``, else to ``left``; leaves have no class."""
+
+    cls: np.ndarray
+    cut: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    leaf: np.ndarray  # numbers of the leaves from left to right
+
+    def leaves(self, counts: np.ndarray) -> np.ndarray:
+        node = np.zeros(len(counts), np.int64)
+        while True:
+            inner = np.flatnonzero(self.cls[node] >= 0)
+            if not len(inner):
+                return self.leaf[node]
+            at = node[inner]
+            node[inner] = np.where(counts[inner, self.cls[at]] >= self.cut[at], self.right[at], self.left[at])
+
+
+def grow_tree(counts: np.ndarray, most: int) -> Tree:
+    """Split the sample at the middle of its most varying class until a part has at most ``most`` texts or all alike."""
+    cls, cut_at, left, right, leaf = [], [], [], [], []
+    leaves = 0
+
+    def grow(rows: np.ndarray) -> int:
+        nonlocal leaves
+        node = len(cls)
+        for column in (cls, cut_at, left, right, leaf):
+            column.append(-1)
+        spread = counts[rows].var(axis=0) if len(rows) > most else np.zeros(1)
+        if spread.max() == 0:
+            leaf[node], leaves = leaves, leaves + 1
+            return node
+        c = int(spread.argmax())
+        values = np.sort(counts[rows, c])
+        steps = np.flatnonzero(np.diff(values)) + 1
+        value = values[steps[np.abs(steps - len(rows) // 2).argmin()]]
+        above = counts[rows, c] >= value
+        cls[node], cut_at[node] = c, value
+        left[node] = grow(rows[~above])
+        right[node] = grow(rows[above])
+        return node
+
+    grow(np.arange(len(counts)))
+    return Tree(*(np.array(column, np.int64) for column in (cls, cut_at, left, right, leaf)))
+
+
+def _with_leaves(df: DataFrame, text: str, tree) -> DataFrame:
+    """``df`` with ``leaf``, the leaf of the broadcast tree that its texts belong to."""
+
+    def run(batches):
+        for part in batches:
+            yield part.assign(leaf=tree.value.leaves(Texts(part[text].tolist()).class_counts()))
+
+    return df.mapInPandas(run, _fields(df) + ", leaf bigint")
+
+
+def _fields(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def _sampled_tree(targets: DataFrame, rows: int, n: int) -> Tree:
+    """The tree whose leaves hold about ``rows`` of the ``n`` targets each."""
+
+    def counted(batches):
+        for part in batches:
+            yield pd.DataFrame({"counts": list(Texts(part["ttext"].tolist()).class_counts())})
+
+    chosen = targets if n <= TREE_SAMPLE else targets.where(F.pmod(F.xxhash64("tpos"), F.lit(n)) < TREE_SAMPLE)  # about as many
+    sample = chosen.select("ttext").mapInPandas(counted, "counts array<int>").toPandas()["counts"]
+    sampled = np.stack(sample.tolist()).astype(np.int32) if len(sample) else np.zeros((1, CLASSES), np.int32)
+    return grow_tree(sampled, max(rows * len(sampled) // n, LEAF_SAMPLE if n > TREE_SAMPLE else 1))
 
 
 def build_index(targets: DataFrame, rule: Rule, least_rows: int = 1) -> Index | None:
@@ -76,15 +161,19 @@ def build_index(targets: DataFrame, rule: Rule, least_rows: int = 1) -> Index |
     """
     spark = targets.sparkSession
     targets = _with_defaults(targets, ["tid", "tpos", "ttext"], TARGET_DEFAULTS)
-    order = [F.col("t_key"), F.col("t_at")] if rule.keyed else [F.col("ttext")]
-    numbered = cut(dense_ids(targets, [*order, F.col("tpos")], "_no", unique=True), "shards")
-    size = numbered.agg(F.count("*").alias("n"), F.max(F.length("ttext")).alias("chars")).first()
+    targets = cut(targets, "targets")
+    size = targets.agg(F.count("*").alias("n"), F.max(F.length("ttext")).alias("chars")).first()
     if not size.n:
         return None
     rows = _group_rows(size.n, 4 * spark.sparkContext.defaultParallelism, SHARD_ROWS, size.chars)
     rows = max(rows, min(least_rows, SHARD_ROWS[1]))
+    tree, order = None, [F.col("t_key"), F.col("t_at")]
+    if not rule.keyed:
+        tree = spark.sparkContext.broadcast(_sampled_tree(targets, rows, size.n))
+        targets, order = _with_leaves(targets, "ttext", tree), [F.col("leaf"), F.col("ttext")]
+    numbered = cut(dense_ids(targets, [*order, F.col("tpos")], "_no", unique=True), "shards")
     shards = numbered.withColumn("shard", F.floor((F.col("_no") - 1) / rows).cast("int")).drop("_no")
-    return Index(shards, spark.sparkContext.broadcast(_directory(shards)), rule)
+    return Index(shards, spark.sparkContext.broadcast(_directory(shards)), rule, tree)
 
 
 def nearest(
@@ -109,25 +198,30 @@ def nearest(
     index = build_index(targets, rule, k or 1) if asked.n and isinstance(targets, DataFrame) else targets
     if not asked.n or index is None:
         return spark.createDataFrame([], HIT_SCHEMA)
-    directory, shards = index.directory, index.shards
+    directory, shards, tree = index.directory, index.shards, index.tree
     if closed is not None:
         shards = shards.drop("t_cut").join(closed.select("tid", "t_cut"), "tid", "left")
         shards = shards.withColumn("t_cut", F.coalesce("t_cut", F.lit(NEVER)))
     chunk = _group_rows(asked.n, 2 * spark.sparkContext.defaultParallelism, CHUNK_ROWS, asked.chars)
 
-    routed_schema = queries.schema.simpleString()[len("struct<") : -1].replace(":", " ") + ", least double, least_gap bigint, least_pos bigint, shard int"
-    unbounded = queries.withColumns({"least": F.lit(-1.0), "least_gap": F.lit(NEVER), "least_pos": F.lit(NEVER)})
-    home = unbounded.mapInPandas(lambda it: _routes(it, directory.value, rule, True), routed_schema)
-    first = cut(_visit(home, shards, rule, chunk), "home")
-
-    # Visits to two or three shards may find more than wanted; the last place that counts is the want-th.
-    place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "gap", "tpos"))
-    bar = first.withColumn("_place", place).join(queries.select("qid", "want"), "qid").where(F.col("_place") == F.col("want"))
-    bar = bar.select("qid", F.col("score").alias("least"), F.col("gap").alias("least_gap"), F.col("tpos").alias("least_pos"))
     open_ended = {"least": F.lit(-1.0), "least_gap": F.lit(NEVER), "least_pos": F.lit(NEVER)}
-    bounded = queries.join(bar, "qid", "left").withColumns({c: F.coalesce(c, v) for c, v in open_ended.items()})
-    away = bounded.mapInPandas(lambda it: _routes(it, directory.value, rule, False), routed_schema)
-    hits = first.unionByName(_visit(away, shards, rule, chunk))
+    routed_schema = _fields(queries.withColumns(open_ended)) + ", shard int"
+
+    def routes(asked: DataFrame, ranks: tuple[int, int] | None) -> DataFrame:
+        return asked.mapInPandas(lambda it: _routes(it, directory.value, rule, tree, ranks), routed_schema)
+
+    hits = cut(_visit(cut(routes(queries.withColumns(open_ended), None), "routes"), shards, rule, chunk), "hits")
+    ends = ROUND_ENDS if len(directory.value) > FEW_SHARDS else ()
+    for begin, end in zip((0, *ends), (*ends, len(directory.value))):
+        # Visits may find more than wanted; the last place that counts is the want-th.
+        place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "gap", "tpos"))
+        bar = hits.withColumn("_place", place).join(queries.select("qid", "want"), "qid").where(F.col("_place") == F.col("want"))
+        bar = bar.select("qid", F.col("score").alias("least"), F.col("gap").alias("least_gap"), F.col("tpos").alias("least_pos"))
+        bounded = queries.join(bar, "qid", "left").withColumns({c: F.coalesce(c, v) for c, v in open_ended.items()})
+        away = cut(routes(bounded, (begin, end)), "routes")
+        if not away.isEmpty():
+            found = _visit(away, shards, rule, chunk)
+            hits = hits.unionByName(found if end == len(directory.value) else cut(found, "hits"))
     return hits if k is None else _best(hits, k)
 
 
@@ -160,23 +254,25 @@ def _best(hits: DataFrame, k: int) -> DataFrame:
 # --- directory -----------------------------------------------------------------------------------
 
 _DIRECTORY_SCHEMA = (
-    "shard INT, min_len INT, max_len INT, counts ARRAY<INT>, first_text STRING, first_key STRING, last_key STRING, "
+    "shard INT, min_len INT, max_len INT, counts ARRAY<INT>, first_text STRING, first_leaf BIGINT, first_key STRING, last_key STRING, "
     "first_at BIGINT, min_at BIGINT, max_at BIGINT, min_pos BIGINT"
 )
 
 
 def _shard_entry(t: pd.DataFrame) -> pd.DataFrame:
     texts = Texts(codes_of(t["ttext"])[1])
-    first = t.sort_values(["t_key", "t_at"]).iloc[0] if t["t_key"].notna().any() else t.iloc[0]
+    keyed = t["t_key"].notna().any()
+    first = t.sort_values(["leaf", "ttext"] if "leaf" in t else ["t_key", "t_at"]).iloc[0]
     return pd.DataFrame(
         {
             "shard": [t["shard"].iloc[0]],
             "min_len": [texts.lengths.min()],
             "max_len": [texts.lengths.max()],
             "counts": [texts.class_counts().max(axis=0)],
-            "first_text": [t["ttext"].min()],
+            "first_text": [first["ttext"]],
+            "first_leaf": [first.get("leaf", 0)],
             "first_key": [first["t_key"]],
-            "last_key": [t["t_key"].max() if t["t_key"].notna().any() else None],
+            "last_key": [t["t_key"].max() if keyed else None],
             "first_at": [first["t_at"]],
             "min_at": [t["t_at"].min()],
             "max_at": [t["t_at"].max()],
@@ -194,11 +290,14 @@ def _directory(shards: DataFrame) -> pd.DataFrame:
 # --- routing -------------------------------------------------------------------------------------
 
 
-def _home_shards(q: pd.DataFrame, d: pd.DataFrame, rule: Rule) -> np.ndarray:
+def _home_shards(q: pd.DataFrame, d: pd.DataFrame, rule: Rule, tree) -> np.ndarray:
     """For each query the shards that it visits first (three columns, which may repeat a shard)."""
     if not rule.keyed:
-        spot = np.searchsorted(d["first_text"].to_numpy(dtype=object), q["qtext"].to_numpy(dtype=object), side="right")
-        return np.repeat(np.maximum(spot - 1, 0)[:, None], 3, axis=1)
+        starts = list(zip(d["first_leaf"].tolist(), d["first_text"].tolist()))
+        texts = q["qtext"].tolist()
+        leaves = tree.value.leaves(Texts(texts).class_counts()).tolist()
+        spot = np.array([bisect.bisect_right(starts, place) - 1 for place in zip(leaves, texts)], np.int64)
+        return np.repeat(np.maximum(spot, 0)[:, None], 3, axis=1)
     starts = list(zip(d["first_key"], d["first_at"]))
     last_keys = d["last_key"].tolist()
     out = np.zeros((len(q), 3), dtype=np.int64)
@@ -211,7 +310,8 @@ def _home_shards(q: pd.DataFrame, d: pd.DataFrame, rule: Rule) -> np.ndarray:
     return out
 
 
-def _routes(batches, d: pd.DataFrame, rule: Rule, at_home: bool):
+def _routes(batches, d: pd.DataFrame, rule: Rule, tree, ranks: tuple[int, int] | None):
+    """Queries with the shards to visit: their homes (without ``ranks``), or those of these ranks by descending bound that may still count."""
     counts = np.stack(d["counts"].to_numpy()).astype(np.int32)
     min_len, max_len = d["min_len"].to_numpy(np.int64), d["max_len"].to_numpy(np.int64)
     min_at, max_at = d["min_at"].to_numpy(np.int64), d["max_at"].to_numpy(np.int64)
@@ -219,8 +319,8 @@ def _routes(batches, d: pd.DataFrame, rule: Rule, at_home: bool):
     shard_ids = np.arange(len(d))
     first_keys, last_keys = d["first_key"].tolist(), d["last_key"].tolist()
     for q in batches:
-        homes = _home_shards(q, d, rule)
-        if at_home:
+        homes = _home_shards(q, d, rule, tree)
+        if ranks is None:
             pairs = np.unique(np.stack([np.repeat(np.arange(len(q)), 3), homes.ravel()], 1), axis=0)
             yield q.iloc[pairs[:, 0]].assign(shard=pairs[:, 1].astype(np.int32))
             continue
@@ -244,6 +344,11 @@ def _routes(batches, d: pd.DataFrame, rule: Rule, at_home: bool):
             sooner = (gap < least_gap) | ((gap == least_gap) & (min_pos < least_pos))
             go = rule.clears(bound) & ((bound > least) | ((bound == least) & sooner)) & (min_at[None, :] <= q_at)
             np.put_along_axis(go, home, False, axis=1)
+            if ranks != (0, len(d)):
+                order = np.argsort(-bound, axis=1, kind="stable")
+                rank = np.empty_like(order)
+                np.put_along_axis(rank, order, np.arange(len(d))[None, :], axis=1)
+                go &= (rank >= ranks[0]) & (rank < ranks[1])
             rows, shard = np.nonzero(go)
             yield part.iloc[rows].assign(shard=shard.astype(np.int32))
 
@@ -253,7 +358,6 @@ def _routes(batches, d: pd.DataFrame, rule: Rule, at_home: bool):
 
 def _visit(routed: DataFrame, shards: DataFrame, rule: Rule, chunk: int) -> DataFrame:
     """Score routed queries against their shards in groups of bounded size on both sides."""
-    routed = cut(routed, "routes")
     partitions = int(routed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = routed.groupBy("shard").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
     left = (

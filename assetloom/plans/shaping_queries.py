@@ -11,8 +11,9 @@ from assetloom.functions import values as V
 from assetloom.operators import columns as C
 from assetloom.operators import employees, enrich, standardise
 from assetloom.plans.roles import customer_headcount, dimensions, lineitem_assets, table
+from assetloom.operators.depreciation import depreciation_schedule
 from assetloom.session import checkpoint_root
-from assetloom.sources import readers, writers
+from assetloom.sources import pages, readers, stored, writers
 
 QUERIES, SQL = {}, {}
 
@@ -392,6 +393,74 @@ def subresources(spark, sf_dir):
     return readers.attach_subresources(assets, responses, ["click", "error"])
 
 
+@query("subresource_parts", """
+WITH placed AS (SELECT user_id, event_type, props, sum(length(props) + 1) OVER w - length(props) - 1 AS place
+  FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY props, event_id ROWS UNBOUNDED PRECEDING)),
+parted AS (SELECT *, dense_rank() OVER (PARTITION BY user_id, event_type ORDER BY place // 60) AS part FROM placed)
+SELECT user_id AS display_id, event_type AS kind, part, count(*) AS n_payloads, '[' || string_agg(props, ',' ORDER BY props) || ']' AS payload
+FROM parted GROUP BY ALL""")
+def subresource_parts(spark, sf_dir):
+    """All responses as JSON parts of about 60 characters, so that most keys have several."""
+    responses = table(spark, sf_dir, "events").selectExpr("user_id AS display_id", "event_type AS kind", "props AS payload")
+    return readers.subresource_parts(responses, part_chars=60)
+
+
+@query("stripped_names", "SELECT p_partkey, p_name, p_brand AS vendor FROM part")
+def stripped_names(spark, sf_dir):
+    return C.strip_names(table(spark, sf_dir, "part").selectExpr("p_partkey AS ` p_partkey `", "p_name AS `p_name\t`", "p_brand AS `  vendor`"))
+
+
+PAGE_ROWS = 100
+
+
+@query("paged_source", f"""SELECT 1 + c_custkey // {PAGE_ROWS} AS page, row_number() OVER (PARTITION BY c_custkey // {PAGE_ROWS} ORDER BY c_custkey) - 1 AS row_in_page,
+c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment = 'BUILDING' AS active FROM customer""")
+def paged_source(spark, sf_dir):
+    """All customers landed as pages, an empty page behind them and one after it that a client would never ask for; read as a data source."""
+    path = _folder(spark, "pages")
+    customers = table(spark, sf_dir, "customer")
+    record = F.struct(
+        F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("balance"), (F.col("c_mktsegment") == "BUILDING").alias("active")
+    )
+    landed = customers.groupBy((1 + F.floor(F.col("c_custkey") / PAGE_ROWS)).alias("page")).agg(F.array_sort(F.collect_list(record)).alias("records"))
+    last = 1 + customers.agg(F.max("c_custkey")).first()[0] // PAGE_ROWS
+    first = landed.where("page = 1")
+    none = first.select(F.lit(last + 1).alias("page"), F.filter("records", lambda r: F.lit(False)).alias("records"))
+    after = first.select(F.lit(last + 2).alias("page"), "records")
+    whole = landed.unionByName(none).unionByName(after).select("page", F.to_json(F.struct(F.lit("ok").alias("status"), "records")).alias("value"))
+    whole.write.partitionBy("page").text(path)
+    pages.register(spark)
+    reader = spark.read.format("pages").option("pagePattern", r"page=(\d+)/").option("pagesPerPartition", 8)
+    return reader.option("recordSchema", "id bigint, name string, balance double, active boolean").load(path)
+
+
+@query("stored_append", """SELECT o_orderkey, o_custkey, o_totalprice, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status FROM orders
+UNION SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE -1 END, NULL FROM orders""")
+def stored_append(spark, sf_dir):
+    """All orders stored in buckets; then all orders once more as new rows, some of them equal, some with another price or no status."""
+    orders = table(spark, sf_dir, "orders")
+    name = f"stored_{uuid.uuid4().hex}"
+    first = orders.selectExpr("o_orderkey", "o_custkey", "o_totalprice", "CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS status")
+    stored.create_stored(first, name, _folder(spark, "stored"), 8)
+    new = orders.selectExpr("o_orderkey", "o_custkey", "CASE WHEN o_orderkey % 2 = 0 THEN o_totalprice ELSE -1 END AS o_totalprice")
+    return stored.append_stored(new, name)
+
+
+@query("depreciation", """
+WITH lives AS (SELECT p_partkey AS asset_id, p_retailprice::DECIMAL(18,2) AS cost, DATE '2023-11-15' + p_size::INT AS date, p_size % 9 AS life FROM part),
+months AS (SELECT *, date_trunc('month', date)::DATE AS first, day(last_day(date)) AS days, unnest(range(0, CASE WHEN day(date) = 1 THEN life ELSE life + 1 END)) AS n
+  FROM lives WHERE life >= 1),
+used AS (SELECT *, greatest(0, least(life * days, (n + 1) * days - day(date) + 1)) AS u, greatest(0, least(life * days, n * days - day(date) + 1)) AS v FROM months),
+cents AS (SELECT *, (2 * (cost * 100)::BIGINT * u + life * days) // (2 * life * days) AS now, (2 * (cost * 100)::BIGINT * v + life * days) // (2 * life * days) AS before FROM used)
+SELECT asset_id, (n + 1)::INT AS period, (first + to_months(n::INT))::DATE AS month, (now - before) / 100.0 AS depreciation, now / 100.0 AS accumulated,
+       cost - now / 100.0 AS book_value FROM cents""")
+def depreciation(spark, sf_dir):
+    """Every part as an asset with a life of up to eight months, some of none."""
+    assets = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey AS asset_id", "p_retailprice AS cost", "date_add(DATE '2023-11-15', CAST(p_size AS INT)) AS date", "p_size % 9 AS useful_life")
+    return depreciation_schedule(assets).drop("cost", "date", "useful_life")
+
+
 def _folder(spark, label):
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assetloom.functions.text import dict_literal, first_braces
 from assetloom.functions.values import to_long
 from assetloom.operators.columns import lower_names, snake_names
+from assetloom.operators.ranking import dense_ids, running_before
+from assetloom.session import cut
+from assetloom.sources.csv_records import records
 from assetloom.sources.schemas import ENTITIES
 
 
@@ -28,16 +31,24 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, schema: str | None = None, multi_line: bool = True) -> DataFrame:
     """A required CSV file with a header; a missing path raises.
 
-    Quoted values may hold line breaks, at the price of one task per file. Files known to hold
-    none can be split with ``multi_line=False``, which breaks a record at any line break. With a schema, columns are matched by header name and columns the file
-    lacks are left out, so no pass over the data is spent on inference.
+    Quoted values may hold line breaks. One pass over the quotes tells whether any does: if not, files
+    are split as plain lines; if so, their records are cut by many tasks as well (``csv_records``),
+    and a quote that never closes raises. ``multi_line=False`` skips the pass and breaks a record at
+    any line break. With a schema, columns are matched by header name and columns the file lacks
+    are left out. Without one, types are inferred, by one task per file where records hold line breaks.
     """
-    reader = spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
-    header = reader.option("inferSchema", False).csv(path)
+    reader = spark.read.option("header", True).option("escape", '"')
+    header = reader.option("inferSchema", False).option("multiLine", multi_line).csv(path)
+    broken = records(spark, path) if multi_line else None
     if schema is None:
-        return reader.option("inferSchema", True).csv(path)
+        return reader.option("inferSchema", True).option("multiLine", broken is not None).csv(path)
     wanted = {f.name.lower(): f.dataType for f in T.StructType.fromDDL(schema).fields}
-    return header.select(
+    if broken is None:
+        values = reader.option("multiLine", False).schema(header.schema).csv(path)
+    else:
+        ddl = ", ".join(f"`{c.replace('`', '``')}` string" for c in header.columns)
+        values = broken.select(F.from_csv(F.regexp_replace("text", "\r$", ""), ddl, {"escape": '"', "multiLine": "true"}).alias("r")).select("r.*")
+    return values.select(
         *[
             F.col(f"`{c}`").try_cast(wanted[c.strip().lower()]).alias(c)
             if c.strip().lower() in wanted
@@ -105,18 +116,50 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
-def attach_subresources(assets: DataFrame, responses: DataFrame, kinds: list[str], key: str = "display_id") -> DataFrame:
+#: Characters of payloads that one asset may hold as one value, and that one part holds (or a single longer payload).
+VALUE_CHARS = 64 << 20
+PART_CHARS = 1 << 20
+
+
+def attach_subresources(assets: DataFrame, responses: DataFrame, kinds: list[str], key: str = "display_id", most_chars: int = VALUE_CHARS) -> DataFrame:
     """Add one JSON-text column per sub-resource; an asset without a response gets ``null`` text.
 
     ``responses`` holds ``(key, kind, payload)`` with JSON text as payload. A column lists
-    all payloads of the asset and kind as a JSON array, in the order of their texts.
+    all payloads of the asset and kind as a JSON array, in the order of their texts. Nothing is
+    cut: an asset with more than ``most_chars`` characters of one kind raises before its payloads are brought
+    together, since they belong in rows (``subresource_parts``).
     """
+    wanted = responses.where(F.col("kind").isin(kinds) & F.col("payload").isNotNull())
+    large = wanted.groupBy(key, "kind").agg(F.sum(F.length("payload") + 1).alias("chars")).where(F.col("chars") > most_chars).first()
+    if large is not None:
+        raise ValueError(f"{large.kind} of {key} {large[key]} has {large.chars} characters; read it with subresource_parts")
     listed = [F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("payload")))).alias(k) for k in kinds]
-    joined = assets.join(responses.groupBy(key).agg(*listed), key, "left")
+    joined = assets.join(wanted.groupBy(key).agg(*listed), key, "left")
     text = {k: F.when(F.size(k) > 0, F.concat(F.lit("["), F.array_join(k, ","), F.lit("]"))).otherwise("null") for k in kinds}
     return joined.select(*assets.columns, *[value.alias(k) for k, value in text.items()])
 
 
+def subresource_parts(responses: DataFrame, key: str = "display_id", part_chars: int = PART_CHARS) -> DataFrame:
+    """``key, kind, part, n_payloads, payload``: all payloads of every key and kind as JSON arrays of bounded size.
+
+    The payloads of a key and kind stand in the order of their texts, through its parts. A part begins
+    where the running length of the payloads passes a multiple of ``part_chars``, so it holds at most that many
+    characters more than its last payload, and a key with any number of responses is many rows in
+    many tasks. Null payloads are left out.
+    """
+    rows = responses.where("payload IS NOT NULL").select(key, "kind", "payload")
+    numbered = cut(dense_ids(rows, [F.col(key).asc_nulls_first(), F.col("kind").asc_nulls_first(), F.col("payload")], "_no"), "payloads")
+    chars = F.length("payload") + 1
+    placed = running_before(numbered, [key, "kind"], "_no", chars, "_before", numbered.count())
+    parted = placed.withColumn("part", F.floor(F.col("_before") / part_chars))
+    pieces = F.array_sort(F.collect_list(F.struct("_no", "payload")))
+    grouped = parted.groupBy(key, "kind", "part").agg(F.count("*").alias("n_payloads"), pieces.alias("_pieces"))
+    # A long payload may leave multiples without a part; parts are numbered without gaps.
+    counted = Window.partitionBy(key, "kind").orderBy("part")
+    whole = F.concat(F.lit("["), F.array_join("_pieces.payload", ","), F.lit("]"))
+    return grouped.select(key, "kind", F.row_number().over(counted).alias("part"), "n_payloads", whole.alias("payload"))
+
+
 def read_json_map(spark: SparkSession, path: str, value_type: str = "bigint") -> DataFrame:
     """A JSON object ``{"key": number}`` as rows ``(key, value)``; a missing file gives no rows.
 

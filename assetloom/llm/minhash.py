@@ -38,9 +38,9 @@ ROWS, BANDS = 5, 48
 BINS = ROWS * BANDS
 #: Random bins an empty bin tries before it takes the next full one.
 PROBES = 64
-#: Stars that every bucket draws before its members meet in blocks, and rounds in which they name their likeliest partners only.
+#: Stars that every bucket draws before its members meet in blocks, and rounds in which they name their likeliest partners only first.
 STARS = 1
-LIKELIEST = 2
+LIKELIEST = 1
 #: Members of a bucket on either side of a block.
 BLOCK_ROWS = 2_000
 _U = np.uint64

@@ -95,3 +95,13 @@ def test_words_across_blocks():
     text = "x" * 2_100_000 + " foo BAR baz " + "y " * 700_000
     got = [len(s) for s in jaccard.shingle_sets(pa.array([text, None, "foo", "a b c d"]), 4)]
     assert got == [len(sets_of(t, 4)) for t in (text, None, "foo", "a b c d")]
+
+
+def test_words_built_by_a_rule():
+    """The Thue-Morse word and its complement, which agree under polynomial hashes, are different words."""
+    one = "a"
+    for _ in range(12):
+        one += one.translate(str.maketrans("ab", "ba"))
+    other = one.translate(str.maketrans("ab", "ba"))
+    first, second, third = jaccard.shingle_sets(pa.array([f"one two {w} three" for w in (one, other, one.upper())]), 4)
+    assert first.tolist() == third.tolist() != second.tolist()

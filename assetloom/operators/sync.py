@@ -127,7 +127,8 @@ def upsert(
     joined = target.withColumn("_stored", F.lit(True)).join(patch, F.col(key) == F.col("_key"), "full_outer")
     hit = F.col("_patch").isNotNull()
     if record is not None:
-        first = F.min(record).over(Window.partitionBy(key))
+        # Rows without a key are patched by nothing; each is a group of its own.
+        first = F.min(record).over(Window.partitionBy(key, F.when(F.col(key).isNull(), F.col(record))))
         hit = hit & (F.col("_stored").isNull() | (F.col(record) == first))
 
     def value(c: str) -> Column:

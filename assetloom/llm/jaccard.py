@@ -180,12 +180,20 @@ def _texts(docs: DataFrame, sets: DataFrame, n: int) -> DataFrame:
     return named.join(sets.select("set_id"), "set_id", "left_semi").groupBy("set_id").agg(F.min("text").alias("text"))
 
 
-def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _mixed(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members ``key, set_id, label`` of keys that more than one component sends."""
+    joined = members.select("key", "set_id").join(labels.withColumnRenamed("node", "set_id"), "set_id")
+    several = joined.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
+    return cut(joined.join(several, "key"), "members")
+
+
+def _across(left: DataFrame, sets: DataFrame, percent: int, likeliest: bool = False) -> DataFrame:
     """The pairs ``a, b`` of members ``key, set_id, label`` that agree in a key, have other labels and may be linked by size and parity bits.
 
     The members of a key are cut into chunks and every two chunks meet in a block, so no task
     holds a whole key. A pair is returned at the smallest key that it shares, or, if that is
-    none of the first ``OWN_KEYS`` of both, at every key, and then made distinct.
+    none of the first ``OWN_KEYS`` of both, at every key, and then made distinct. With
+    ``likeliest`` a member names at most the one partner of a block whose parity bits are nearest.
     """
     place = F.row_number().over(Window.partitionBy("set_id").orderBy("key"))
     own = left.withColumn("place", place).where(F.col("place") <= OWN_KEYS).groupBy("set_id").agg(F.sort_array(F.collect_list("key")).alias("keys"))
@@ -205,11 +213,11 @@ def _across(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             found = []
             for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(place)]):
                 if tuple(place[a]) != block:
-                    found += _near(held, block, percent)
+                    found += _near(held, block, percent, likeliest)
                     block, held = tuple(place[a]), []
                 held.append(batch.slice(a, b - a))
             yield _pairs(found)
-        yield _pairs(_near(held, block, percent))
+        yield _pairs(_near(held, block, percent, likeliest))
 
     return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(compare, "a long, b long").distinct()
 
@@ -218,7 +226,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], ["a", "b"])
 
 
-def _near(held: list[pa.RecordBatch], block: tuple[int, int, int] | None, percent: int) -> list[tuple[int, int]]:
+def _near(held: list[pa.RecordBatch], block: tuple[int, int, int] | None, percent: int, likeliest: bool) -> list[tuple[int, int]]:
     """The possible pairs of a block's rows."""
     if not held:
         return []
@@ -232,8 +240,12 @@ def _near(held: list[pa.RecordBatch], block: tuple[int, int, int] | None, percen
         rest = np.flatnonzero((label != label[x]) & ((chunk == j) if i < j else (ids > ids[x])))
         rest = rest[(100 * np.minimum(size[rest], size[x]) >= percent * np.maximum(size[rest], size[x]))]
         apart = np.bitwise_count(bits[rest] ^ bits[x]).sum(1, dtype=np.int64)
-        for y in rest[apart * (100 + percent) <= (100 - percent) * (size[rest] + size[x])].tolist():
-            if min(set(keys[x]).intersection(keys[y]), default=key) == key:
+        possible = apart * (100 + percent) <= (100 - percent) * (size[rest] + size[x])
+        rest, apart = rest[possible], apart[possible]
+        if likeliest and len(rest):
+            rest = rest[[int(np.argmin(apart / (size[rest] + size[x])))]]
+        for y in rest.tolist():
+            if likeliest or min(set(keys[x]).intersection(keys[y]), default=key) == key:
                 found.append((int(max(ids[x], ids[y])), int(min(ids[x], ids[y]))))
     return found
 
@@ -315,12 +327,13 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
             .agg(F.slice(F.sort_array(F.collect_set("pivot.set_id")), 1, most).alias("some")).select("a", F.explode("some").alias("b"))
         )
         labels = merged(labels, verified(pairs, sets, whole, n, percent))
-        joined = members.join(labels.withColumnRenamed("node", "set_id"), "set_id")
-        mixed = joined.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key")
-        left = cut(joined.join(mixed, "key"), "members")
+        left = _mixed(members, labels)
         if left.isEmpty():
             break
     else:
+        # Most members that are still apart find their component by one partner; only then all pairs are held against each other.
+        labels = merged(labels, verified(cut(_across(left, sets, percent, True), "likeliest"), sets, whole, n, percent))
+        left = _mixed(left, labels)
         labels = merged(labels, verified(cut(_across(left, sets, percent), "across"), sets, whole, n, percent))
     named = sets.select("set_id", "rep").join(labels.withColumnRenamed("node", "set_id"), "set_id", "left")
     named = cut(named.select("set_id", "rep", F.coalesce("label", "set_id").alias("label")), "components")

@@ -14,6 +14,8 @@ WORDS = ["red", "blue", "small", "hot", "widget", "bolt", "ring", "econ", "large
 def many_small_groups(monkeypatch):
     monkeypatch.setattr(search, "SHARD_ROWS", (17, 16_384))
     monkeypatch.setattr(search, "CHUNK_ROWS", (29, 8_192))
+    monkeypatch.setattr(search, "FEW_SHARDS", 1)
+    monkeypatch.setattr(search, "ROUND_ENDS", (1, 3))
 
 
 def sentences(rnd, n):

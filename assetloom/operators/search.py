@@ -40,7 +40,7 @@ MATRIX_CELLS = 2_000_000
 #: Shards by descending bound that a query may visit up to the first, second, ... round after its home; the last round visits the rest.
 ROUND_ENDS = (4, 24)
 #: With up to this many shards one round after the home visits them all.
-FEW_SHARDS = 256
+FEW_SHARDS = 16
 #: Targets (chosen by a hash) whose character counts shape the tree, and the least of them in a leaf.
 TREE_SAMPLE = 131_072
 LEAF_SAMPLE = 8

@@ -38,6 +38,15 @@ class Texts:
         other.starts = len(self.codes) - self.starts - self.lengths
         return other
 
+    def parts(self, ids: np.ndarray, length: int, last: bool = False) -> Texts:
+        """The first (or last) ``length`` characters of each of these texts, which have as many."""
+        other = Texts.__new__(Texts)
+        starts = self.starts[ids] + (self.lengths[ids] - length if last else 0)
+        other.n, other.lengths = len(ids), np.full(len(ids), length, np.int64)
+        other.codes = self.codes[(starts[:, None] + np.arange(length)).ravel()]
+        other.starts = np.arange(len(ids), dtype=np.int64) * length
+        return other
+
     def code(self, i: int) -> np.ndarray:
         return self.codes[self.starts[i] : self.starts[i] + self.lengths[i]]
 
@@ -152,9 +161,15 @@ def _lcs_block(a, ai, codes, starts, lengths, words, running):
     best = np.zeros(len(ai))
     # Slices are sorted by length, so the pairs still running are always a prefix.
     alive = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), side="right")
+    table, row = table.reshape(-1, words), owner * (missing + 1)
     for j in range(int(lengths[0])):
         n = int(alive[j])
-        v[:n] = _step(v[:n], table[owner[:n], index[starts[:n] + j]])
+        mask = table.take(row[:n] + index.take(starts[:n] + j), axis=0)
+        if words == 1:
+            mask &= v[:n]
+            np.bitwise_or(v[:n] + mask, v[:n] - mask, out=v[:n])
+        else:
+            v[:n] = _step(v[:n], mask)
         if running:
             lcs = np.bitwise_count(~v[:n] & keep[:n]).sum(axis=1, dtype=np.int64)
             np.maximum(best[:n], 200.0 * lcs / (a_len[:n] + j + 1), out=best[:n])
@@ -221,15 +236,41 @@ def score_bound(scorer: str, overlap, a_len, b_min, b_max):
     return np.where(overlap >= short, 100.0, 200.0 * overlap / np.maximum(short + overlap, 1))
 
 
+def window_bounds(overlap, a: Texts, ids: np.ndarray, a_counts: np.ndarray, b: Texts) -> tuple[np.ndarray, np.ndarray]:
+    """The highest best-window score of each text ``ids`` of ``a`` with each of ``b``: by windows as long as ``a``, and by shorter ones.
+
+    Only windows at an end of ``b`` are shorter than ``a``, and they share no more with ``a`` than that end does, so this is
+    closer than ``score_bound``. Where ``b`` is no longer than ``a``, the second is ``score_bound`` and the first 0.
+    """
+    lengths = a.lengths[ids]
+    whole, ends = np.zeros(overlap.shape), score_bound("partial", overlap, lengths[:, None], b.lengths, b.lengths)
+    for m in np.unique(lengths[lengths > 0]):
+        rows, cols = np.flatnonzero(lengths == m), np.flatnonzero(b.lengths > m)
+        if not len(cols):
+            continue
+        at = np.ix_(rows, cols)
+        whole[at] = 100.0 * overlap[at] / m
+        shared = np.zeros((len(rows), len(cols)), np.int32)
+        for last in (False, True):
+            np.maximum(shared, overlap_matrix(a_counts[rows], b.parts(cols, m - 1, last).class_counts()), out=shared)
+        ends[at] = 200.0 * shared / (m + np.maximum(shared, 1))
+    return whole, ends
+
+
 def overlap_matrix(a_counts: np.ndarray, b_counts: np.ndarray) -> np.ndarray:
     """Sum over classes of the smaller count, for every row of ``a`` against every row of ``b``."""
-    out = np.zeros((len(a_counts), len(b_counts)), dtype=np.int32)
+    if len(a_counts) and a_counts.sum(axis=1).max() < 256:  # no sum is larger, and small numbers are added faster
+        a_counts, b_counts = a_counts.astype(np.uint8), np.minimum(b_counts, 255).astype(np.uint8)
+    out = np.zeros((len(a_counts), len(b_counts)), dtype=a_counts.dtype)
     for c in range(a_counts.shape[1]):
         col = a_counts[:, c]
         rows = np.flatnonzero(col)
         if len(rows) and b_counts[:, c].any():
-            out[rows] += np.minimum(col[rows, None], b_counts[None, :, c])
-    return out
+            if len(rows) == len(out):
+                out += np.minimum(col[:, None], b_counts[None, :, c])
+            else:
+                out[rows] += np.minimum(col[rows, None], b_counts[None, :, c])
+    return out.astype(np.int32)
 
 
 def _pair_udf(scorer: str):

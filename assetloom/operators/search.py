@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assetloom.functions.similarity import CLASSES, SCORERS, Texts, codes_of, overlap_matrix, score_bound
+from assetloom.functions.similarity import CLASSES, SCORERS, Texts, codes_of, lcs_slices, overlap_matrix, score_bound, window_bounds
 from assetloom.functions.values import DAY_MICROS
 from assetloom.operators.ranking import dense_ids
 from assetloom.session import cut
@@ -390,11 +390,11 @@ def score_group(q: pd.DataFrame, t: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     q_code, q_unique = codes_of(q["qtext"])
     t_texts, q_texts = Texts(t_unique), Texts(q_unique)
     t_counts, q_counts = t_texts.class_counts(), q_texts.class_counts()
+    order = np.argsort(q_code, kind="stable")
+    q, q_code = q.iloc[order], q_code[order]
     least = np.maximum(q["least"].to_numpy(), rule.floor)
     lowest = np.full(len(q_unique), np.inf)
     np.minimum.at(lowest, q_code, least)
-    order = np.argsort(q_code, kind="stable")
-    q, q_code = q.iloc[order], q_code[order]
     first_row = np.searchsorted(q_code, np.arange(len(q_unique) + 1))
 
     key_codes, _ = codes_of([*q["q_key"], *t["t_key"]])
@@ -410,13 +410,22 @@ def score_group(q: pd.DataFrame, t: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     # Without per-row conditions, every target of a text is open to its queries and scores can raise the bar.
     open_targets = not rule.keyed and np.isinf(q_side["q_score"]).all() and (t_side["cut"] == NEVER).all()
     wanted = int(q_side["want"].max())
+    # Of one date, equal scores go by position alone: what only ties with a known hit before it is not scored.
+    first_pos = np.full(len(t_unique), NEVER)
+    np.minimum.at(first_pos, t_code, t_side["pos"])
+    lowest_pos = np.full(len(q_unique), NEVER)
+    by_place = open_targets and wanted == 1 and len(np.unique(t_side["at"])) == 1
+    if by_place:
+        alone = (np.diff(first_row) == 1) & (least[first_row[:-1]] > rule.floor)
+        lowest_pos[alone] = q["least_pos"].to_numpy(np.int64)[first_row[:-1]][alone]
 
     found = []
     step = max(1, MATRIX_CELLS // len(t_unique))
     for at in range(0, len(q_unique), step):
         block = np.arange(at, min(at + step, len(q_unique)))
         scores = _block_scores(
-            q_texts, t_texts, q_counts, t_counts, block, lowest[block], rule, wanted if open_targets else 0
+            q_texts, t_texts, q_counts, t_counts, block, lowest[block], rule, wanted if open_targets else 0,
+            (lowest_pos[block], first_pos if by_place else None),
         )
         row_step = max(1, MATRIX_CELLS // len(t))
         for lo in range(first_row[block[0]], first_row[block[-1] + 1], row_step):
@@ -434,28 +443,58 @@ def score_group(q: pd.DataFrame, t: pd.DataFrame, rule: Rule) -> pd.DataFrame:
     )
 
 
-def _block_scores(q_texts, t_texts, q_counts, t_counts, block, least, rule, wanted) -> np.ndarray:
-    """Scores of a block of query texts against all target texts; -1 where the bound rules the pair out."""
-    bound = score_bound(
-        rule.scorer, overlap_matrix(q_counts[block], t_counts), q_texts.lengths[block][:, None], t_texts.lengths, t_texts.lengths
-    )
+def _block_scores(q_texts, t_texts, q_counts, t_counts, block, least, rule, wanted, places) -> np.ndarray:
+    """Scores of a block of query texts against all target texts; -1 where the bound rules the pair out.
+
+    ``places`` are the positions behind which a tie with ``least`` is no hit, and those of the targets if ties go by them.
+    """
+    overlap = overlap_matrix(q_counts[block], t_counts)
+    partial = rule.scorer == "partial"
+    if partial:
+        whole, ends = window_bounds(overlap, q_texts, block, q_counts[block], t_texts)
+        bound = np.maximum(whole, ends)
+    else:
+        bound = score_bound(rule.scorer, overlap, q_texts.lengths[block][:, None], t_texts.lengths, t_texts.lengths)
     bound = np.round(bound, 2) if rule.rounded else bound
     scores = np.full(bound.shape, -1.0)
+    least_pos, pos = places
 
     def fill(rows, cols):
         got = SCORERS[rule.scorer](q_texts, t_texts, block[rows], cols)
         scores[rows, cols] = np.round(got, 2) if rule.rounded else got
 
-    possible = bound >= least[:, None]
-    seeds = min(wanted + 3, bound.shape[1]) if wanted else 0
+    def reaches(value, bar, bar_pos):
+        return value >= bar if pos is None else (value > bar) | ((value == bar) & (pos[None, :] < bar_pos))
+
+    possible = reaches(bound, least[:, None], least_pos[:, None])
+    seeds = min(wanted + 15, bound.shape[1]) if wanted else 0
+    bar, bar_pos = least, least_pos
     if seeds and bound.shape[1] > 2 * seeds:
         # Score the most promising targets first: the k-th of them is the bar for the others.
-        top = np.argpartition(-bound, seeds - 1, axis=1)[:, :seeds]
+        hope = -bound if pos is None else 1e-6 * np.argsort(np.argsort(pos)) / len(pos) - bound
+        top = np.argpartition(hope, seeds - 1, axis=1)[:, :seeds]
         rows = np.repeat(np.arange(len(block)), seeds)
         fill(rows, top.ravel())
-        bar = -np.sort(-np.take_along_axis(scores, top, axis=1), axis=1)[:, wanted - 1]
-        possible &= (bound >= bar[:, None]) & (scores < 0)
-    fill(*np.nonzero(possible))
+        found = np.take_along_axis(scores, top, axis=1)
+        if pos is None:
+            bar = -np.sort(-found, axis=1)[:, wanted - 1]
+        else:
+            best = np.lexsort((pos[top], -found), axis=1)[:, :1]
+            bar = np.take_along_axis(found, best, axis=1)[:, 0]
+            bar_pos = pos[np.take_along_axis(top, best, axis=1)[:, 0]]
+        possible &= reaches(bound, bar[:, None], bar_pos[:, None]) & (scores < 0)
+    rows, cols = np.nonzero(possible)
+    if partial and len(rows):
+        # One pass over a whole target says what its windows can hold, for a fraction of the cost of all windows.
+        size = q_texts.lengths[block[rows]]
+        lcs = lcs_slices(q_texts, block[rows], t_texts.codes, t_texts.starts[cols], t_texts.lengths[cols])
+        short = np.minimum(size, t_texts.lengths[cols])
+        shorter = np.minimum(ends[rows, cols], np.where(short > 0, 200.0 * lcs / np.maximum(short + lcs, 1), 100.0))
+        value = np.maximum(np.minimum(whole[rows, cols], 100.0 * lcs / np.maximum(size, 1)), shorter)
+        value = np.round(value, 2) if rule.rounded else value
+        go = value >= bar[rows] if pos is None else (value > bar[rows]) | ((value == bar[rows]) & (pos[cols] < bar_pos[rows]))
+        rows, cols = rows[go], cols[go]
+    fill(rows, cols)
     return scores
 
 

@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 import pytest
 from brute import partial, ratio
 
@@ -90,3 +91,20 @@ def test_hot_key_and_pages_without_end(spark):
     assert sorted((r.rank, r.purchase_id) for r in late) == [(n, n) for n in range(1501, 1601)]
     more = matching.rank_candidates(assets, purchases, 4, after=first).collect()
     assert sorted({(r.asset_id, r.rank, r.purchase_id) for r in more}) == [(a, n, n) for a in (1, 2) for n in range(6, 10)]
+
+
+def test_few_windows_are_scored(monkeypatch):
+    """Bounds leave few pairs of like names to the best-window score, and the hits stay those of brute force."""
+    scored = []
+    plain = search.SCORERS["partial"]
+    monkeypatch.setitem(search.SCORERS, "partial", lambda a, b, ai, bi: scored.append(len(ai)) or plain(a, b, ai, bi))
+    rnd = random.Random(2)
+    q = pd.DataFrame({"qid": range(40), "qtext": [f"member#{rnd.randrange(900_000):09d}" for _ in range(40)], "want": 1})
+    t = pd.DataFrame({"tid": range(400), "tpos": range(400), "ttext": [f"member member#{7 * i:09d} {i % 25}" for i in range(400)]})
+    q = q.assign(**search.QUERY_DEFAULTS, least=-1.0, least_gap=search.NEVER, least_pos=search.NEVER)
+    hits = search.score_group(q, t.assign(**search.TARGET_DEFAULTS), Rule(80, True, "partial"))
+    got = {r.qid: (round(-r.score, 6), r.tpos) for r in hits.itertuples()}
+    for i, x in enumerate(q["qtext"]):
+        best = min((round(-partial(x, y), 6), j) for j, y in enumerate(t["ttext"]))
+        assert got.get(i) == (best if best[0] <= -80 else None)
+    assert sum(scored) < 40 * 400 / 4

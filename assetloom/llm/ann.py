@@ -5,7 +5,8 @@ is small, so lists are about equally long. All vectors are indexed: each goes to
 its nearest list, and a vector near a boundary also to others whose centroids are
 at most so many times as far away. Centroids, a few thousand at most, are held in memory and
 all compared with each point in one matrix product. A query reads
-all lists whose centroid is at most so many times as far away as the nearest one.
+all lists whose centroid is at most so many times as far away as the nearest one,
+a few nearest ones first: what they hold tells which entries of the others count.
 
 Inner products become distances by one more component that gives every vector
 the same length. Rows with equal vectors are one entry with the ids that can be
@@ -37,6 +38,8 @@ COPIES = 6
 COPY_RATIO = 1.15
 #: How much farther than the nearest list a query looks.
 QUERY_RATIO = 1.3
+#: Lists that a query reads first; the others only send what reaches the last place found there.
+NEAR_LISTS = 8
 
 
 @dataclass
@@ -122,6 +125,13 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None]
 
 
+def reaching(scores: np.ndarray, most: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the ``most`` highest scores of each row, without those below what is ``known`` to be reached elsewhere."""
+    bar = np.maximum(np.partition(scores, scores.shape[1] - most, 1)[:, scores.shape[1] - most], known)
+    slack = 1e-9 * np.maximum(1, np.abs(bar, where=np.isfinite(bar), out=np.zeros(len(bar))))
+    return np.nonzero(scores >= (bar - slack)[:, None])
+
+
 def _matrix(column: pa.Array, size: int) -> np.ndarray:
     flat = column.flatten()
     return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
@@ -157,7 +167,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
     points = lift(_matrix(sample, size), longest)
     index = spark.sparkContext.broadcast(build(points, int(min(MOST_LISTS, max(1, facts["n"] // LIST_ROWS)))))
 
-    def deal(query: bool):
+    def deal(query: bool, part_of: slice = slice(None)):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at in range(0, len(batch), 1024):
@@ -165,7 +175,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
                     matrix = _matrix(part.column("embedding"), size)
                     if query:  # a query's length does not matter; as long as the longest it lies on their sphere
                         own = np.hstack([matrix * (longest / np.linalg.norm(matrix, axis=1))[:, None], np.zeros((len(matrix), 1))])
-                        found = index.value.probes(own, lengths, k + 1)
+                        found = [read[part_of] for read in index.value.probes(own, lengths, k + 1)]
                     else:
                         found = index.value.lists(lift(matrix, longest))
                     row = pa.array(np.repeat(np.arange(len(part)), [len(f) for f in found]))
@@ -182,13 +192,9 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
     lengths = np.zeros(len(index.value.centroids), np.int64)
     lengths[[r["list"] for r in counted]] = [r["n"] for r in counted]
     asked = cut(rows.where(is_query).groupBy("embedding").agg(F.min("vec_id").alias("asked")), "queries")
-    probes = asked.withColumnRenamed("asked", "entry").mapInArrow(deal(True), f"list int, entry long, embedding {kind}")
     members = posted.join(chunks, "list").select(
-        "list", F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"), "entry", "embedding", "ids"
-    )
-    questions = probes.join(chunks, "list").select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), "entry", "embedding",
-        F.lit(None).cast("array<long>").alias("ids"),
+        "list", F.pmod(F.xxhash64("entry"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"), "entry", "embedding", "ids",
+        F.lit(None).cast("double").alias("bar"),
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,6 +202,7 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy() for c in ("list", "chunk", "kind")], 1)
             own, ids, entry = _matrix(batch.column("embedding"), size), batch.column("ids"), batch.column("entry").to_numpy()
+            known = batch.column("bar").fill_null(-np.inf).to_numpy()
             turns = np.flatnonzero(np.any(keys[1:] != keys[:-1], 1)) + 1
             for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(keys)]):
                 if tuple(keys[a, :2]) != group:
@@ -212,19 +219,33 @@ def nearest(vectors: DataFrame, is_query: str, k: int = 20) -> DataFrame:
                 for q in range(a, b, 256):
                     rough = own[q : min(b, q + 256)] @ matrix.T
                     most = min(k + 1, len(matrix))
-                    bar = np.partition(rough, len(matrix) - most, 1)[:, len(matrix) - most]
-                    asking, found = np.nonzero(rough >= bar[:, None] - 1e-9 * np.maximum(1, np.abs(bar[:, None])))
+                    asking, found = reaching(rough, most, known[q : q + len(rough)])
                     score = (own[q + asking] * matrix[found]).sum(1)
                     columns = [pa.array(entry[q + asking]), pa.array(score), held_ids[0].take(pa.array(found))]
                     yield pa.RecordBatch.from_arrays(columns, ["asked", "score", "ids"])
 
-    near = (
-        members.union(questions).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
-        .mapInArrow(compare, "asked long, score double, ids array<long>")
-    )
-    ranked = near.select("asked", "score", F.explode("ids").alias("vec_id")).distinct()
     by_score = Window.partitionBy("asked").orderBy(F.desc("score"), "vec_id")
-    best = ranked.withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k + 1)
+
+    def read(part_of: slice, bars: DataFrame) -> DataFrame:
+        """What these lists of each query hold that reaches its bar."""
+        names = f"list int, entry long, embedding {kind}"
+        probes = asked.withColumnRenamed("asked", "entry").mapInArrow(deal(True, part_of), names).join(bars, "entry", "left")
+        questions = probes.join(chunks, "list").select(
+            "list", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(1).alias("kind"), "entry", "embedding",
+            F.lit(None).cast("array<long>").alias("ids"), "bar",
+        )
+        near = (
+            members.union(questions).repartition("list", "chunk").sortWithinPartitions("list", "chunk", "kind")
+            .mapInArrow(compare, "asked long, score double, ids array<long>")
+        )
+        return near.select("asked", "score", F.explode("ids").alias("vec_id"))
+
+    def leading(found: DataFrame) -> DataFrame:
+        return found.distinct().withColumn("place", F.row_number().over(by_score)).where(F.col("place") <= k + 1)
+
+    first = cut(leading(read(slice(NEAR_LISTS), spark.createDataFrame([], "entry long, bar double"))), "near")
+    last = first.where(F.col("place") == k + 1).select(F.col("asked").alias("entry"), F.col("score").alias("bar"))
+    best = leading(read(slice(NEAR_LISTS, None), last).union(first.drop("place")))
     who = rows.where(is_query).join(asked, "embedding").select(F.col("vec_id").alias("query_id"), "asked")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

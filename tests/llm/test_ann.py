@@ -49,6 +49,22 @@ def test_recall(spark, monkeypatch):
     assert same == [i for i, _ in expected[200]]  # ties go to the smaller ids
 
 
+def test_far_lists_send_what_reaches_the_bar(spark, monkeypatch):
+    scores = np.array([[5.0, 1.0, 4.0, 3.0], [5.0, 1.0, 4.0, 3.0], [1.0, 2.0, 3.0, 4.0]])
+    asking, found = ann.reaching(scores, 3, np.array([-np.inf, 4.0, 9.0]))
+    assert list(zip(asking.tolist(), found.tolist())) == [(0, 0), (0, 2), (0, 3), (1, 0), (1, 2)]
+
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    chance = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(chance.normal(size=(600, 8)))]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = []
+    for lists in (1, 1_000):
+        monkeypatch.setattr(ann, "NEAR_LISTS", lists)
+        found.append(sorted(tuple(r) for r in ann.nearest(frame, "vec_id % 20 = 0", 5).collect()))
+    assert found[0] == found[1] and len(found[0]) == 30 * 5
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

@@ -110,3 +110,17 @@ def test_repeated_asset_ids(spark):
     assert sorted(tuple(r) for r in got) == [(1, 1, 7), (1, 2, 7), (2, 3, 8)]
     half = [(1, "x", "y", "", 2.5), (2, "x", "y", "", 2.5)]
     assert assign.match_summary(a, frames(spark, assets, half)[1], matches).first().total_purchase_items == 5
+
+
+def test_only_contested_purchases_are_ranked(spark, monkeypatch):
+    """Once placed, assets whose purchases nobody newly asks for are left out of the later rounds."""
+    ranked, plain = [], assign.running_before
+    monkeypatch.setattr(
+        assign, "running_before", lambda df, *a, **k: (a[3] == "_ahead" and ranked.append(df.count()), plain(df, *a, **k))[1]
+    )
+    assets = [(1, "red ring x", "acme", ""), (2, "red ring", "acme", "")] + [(i, f"{i * 7919}", f"{i}", "") for i in range(3, 33)]
+    purchases = [(1, "red ring", "acme", "", 1.0), (2, "red rings", "acme", "", 1.0)] + [(i, f"{i * 7919}", f"{i}", "", 1.0) for i in range(3, 33)]
+    a, p = frames(spark, assets, purchases)
+    got = {r.asset_id: (r.purchase_id, r.kind) for r in assign.auto_match(a, p).collect()}
+    assert got == assign_loop(assets, purchases)
+    assert len(ranked) > 1 and max(ranked[1:]) <= 4

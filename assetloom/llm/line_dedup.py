@@ -5,8 +5,10 @@ that hold how frequent a token's hash bucket is in the whole corpus and the
 token's hash, so sorting them puts the rarest first in the same order everywhere.
 Two sets with a Jaccard similarity of at least ``percent`` / 100 share a token among
 the first few of each; such candidates pass if their sizes and the token's places
-allow the overlap, and are verified on the whole lines. Equal sets are one entry
-from the start, so a line that stands in very many documents is compared once.
+allow the overlap and if their signatures are near enough, and are verified on the whole
+lines. A signature tells of each class of tokens whether the line has an odd number of them,
+so two differ in no more bits than the sets do in tokens. Equal sets are one entry from the
+start, so a line that stands in very many documents is compared once.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assetloom.llm.common import release
-from assetloom.session import cut
+from assetloom.session import cut, discard
 
 #: Hash buckets whose frequencies are counted; this many numbers come to the driver.
 BUCKETS = 1 << 16
@@ -24,17 +26,16 @@ _HASH = (1 << 48) - 1
 
 
 def _words(text: F.Column) -> F.Column:
-    """Lower-case words; a line with nothing but single spaces between its words needs no pattern to be split."""
+    """Lower-case words; a text with no white space but spaces needs no pattern to be split."""
     lower = F.lower(text)
-    odd = lower.rlike(r"[\x09-\x0D]|\x20\x20|^\x20|\x20$|^$")
-    return F.when(odd, F.array_remove(F.split(lower, SPACE), "")).otherwise(F.split(lower, " "))
+    return F.array_remove(F.when(text.rlike(r"[\x09-\x0D]"), F.split(lower, SPACE)).otherwise(F.split(lower, " ")), "")
 
 
 def _ranks(docs: DataFrame) -> F.Column:
     """An array with the rank (below 2**14) of every bucket by the frequency of its tokens in all rows."""
     counts = (
-        docs.select(F.explode(F.split(F.lower(F.col("text")), SPACE)).alias("word"))
-        .groupBy(F.pmod(F.xxhash64("word"), F.lit(BUCKETS)).alias("bucket")).agg(F.count("*").alias("n")).collect()
+        docs.select(F.explode(_words(F.replace("text", F.lit("\n"), F.lit(" ")))).alias("word"))
+        .groupBy(F.xxhash64("word").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n")).collect()
     )
     size = {r["bucket"]: r["n"] for r in counts}
     sizes = sorted(set(size.values()))
@@ -45,12 +46,30 @@ def _ranks(docs: DataFrame) -> F.Column:
 def _tokens(line: F.Column, ranks: F.Column) -> F.Column:
     """The distinct tokens of a line as sorted longs, rarest first."""
 
-    def packed(word: F.Column) -> F.Column:
-        value = F.xxhash64(word)
-        rank = F.get(ranks, F.pmod(value, F.lit(BUCKETS)).cast("int"))
+    def packed(value: F.Column) -> F.Column:
+        rank = F.get(ranks, value.bitwiseAND(F.lit(BUCKETS - 1)).cast("int"))
         return F.shiftleft(rank, 48).bitwiseOR(value.bitwiseAND(F.lit(_HASH)))
 
-    return F.sort_array(F.array_distinct(F.transform(_words(line), packed)))
+    return F.sort_array(F.transform(F.array_distinct(F.transform(_words(line), lambda word: F.xxhash64(word).bitwiseAND(F.lit(_HASH)))), packed))
+
+
+def _signature(tokens: str) -> F.Column:
+    """A long whose bit i tells whether an odd number of the tokens have a hash of i modulo 64."""
+    return F.expr(f"aggregate({tokens}, 0L, (bits, token) -> bits ^ shiftleft(1L, int(token & 63)))")
+
+
+#: Longs of a wide signature, as many as values of the two bits that deal the tokens to them.
+WIDE = 4
+
+
+def _wide_signature(tokens: str) -> F.Column:
+    """A signature of ``WIDE`` longs; the sum of their differences bounds the sets' difference."""
+    return F.array(*(_signature(f"filter({tokens}, token -> (shiftright(token, 6) & {WIDE - 1}) = {i})") for i in range(WIDE)))
+
+
+def _apart(one: F.Column, other: F.Column) -> F.Column:
+    """The least number of tokens that only one of two sets has."""
+    return F.bit_count(one.bitwiseXOR(other))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -73,43 +92,56 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     tokens = _lines(docs).withColumn("tokens", _tokens(F.col("line"), ranks))
     n = F.size("tokens")
     first_tokens = (n - F.expr(f"({percent} * size(tokens) + 99) DIV 100") + 1).cast("int")
-    lines = cut(
-        tokens.where(n > 0).select("doc_id", "row", "line_no", F.xxhash64("tokens").alias("set"), n.alias("n"), F.slice("tokens", 1, first_tokens).alias("prefix")),
-        "lines",
+    tokens = tokens.select(
+        "doc_id", "row", "line_no", F.xxhash64("tokens").alias("set"), n.alias("n"), _signature("tokens").alias("bits"),
+        F.slice("tokens", 1, first_tokens).alias("prefix"),
+    )
+    # Conditions on what the tokens give stand behind a cut: in front of it, Spark would make the tokens once more for them.
+    tokens = cut(tokens, "tokens")
+    lines = cut(tokens.where("n > 0").select("doc_id", "row", "line_no", "set"), "lines")
+    sets = tokens.where("n > 0").groupBy("set").agg(F.min(F.struct(place.alias("place"), "row", "n", "bits", "prefix")).alias("spot"))
+    spots = cut(sets.select("set", F.col("spot.place").alias("first"), "spot.row", "spot.n", "spot.bits", "spot.prefix"), "spots")
+    discard(tokens)
+    sets = cut(spots.select("set", "first", "row"), "sets")
+    release(spark)
+    prefix = spots.select("set", "n", "bits", F.posexplode("prefix").alias("at", "token"))
+    left, right = (
+        prefix.select("token", F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}"), F.col("bits").alias(f"bits_{s}"))
+        for s in ("a", "b")
     )
-    sets = lines.select("set", "row", place.alias("place")).groupBy("set").agg(F.min(F.struct("place", "row")).alias("spot"))
-    sets = cut(sets.select("set", F.col("spot.place").alias("first"), F.col("spot.row").alias("row")), "sets")
-    prefix = lines.groupBy("set").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix")).select("set", "n", F.posexplode("prefix").alias("at", "token"))
-    prefix = cut(prefix, "prefixes")
-    left, right = (prefix.select("token", F.col("set").alias(s), F.col("n").alias(f"n_{s}"), F.col("at").alias(f"at_{s}")) for s in ("a", "b"))
+    both = F.col("n_a") + F.col("n_b")
     shared = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))  # the most common tokens, this one being the first
     candidates = (
         left.join(right, "token").where("a < b")
-        .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * shared >= percent * (F.col("n_a") + F.col("n_b"))))
+        .where((100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")) & ((100 + percent) * shared >= percent * both))
+        .where((100 + percent) * _apart(F.col("bits_a"), F.col("bits_b")) <= (100 - percent) * both)
         .select("a", "b").distinct()
     )
     candidates = cut(candidates, "candidates")
-    release(spark)
+    discard(spots)
     wanted = candidates.select(F.col("a").alias("set")).union(candidates.select("b")).distinct()
-    spots = sets.join(wanted, "set").select("set", "row", F.col("first.doc_id").alias("owner"), "first.line_no")
-    spots = spots.groupBy("owner", "row").agg(F.collect_list(F.struct("line_no", "set")).alias("spots"))
+    spots = sets.join(wanted, "set").select("set", "first", F.col("row").alias("of_row"), F.col("first.doc_id").alias("owner"), F.col("first.line_no").alias("at"))
+    spots = cut(spots, "spots")
+    release(spark)  # Spark holds the files of a step until the next one has run, so small steps come before the large ones
     whole = (
-        docs.join(spots, _of_row())
-        .select(F.split("text", "\n", -1).alias("all"), F.explode("spots").alias("spot"))
-        .select("spot.set", _tokens(F.get("all", F.col("spot.line_no")), ranks).alias("tokens"))
-        .where(F.xxhash64("tokens") == F.col("set")).groupBy("set").agg(F.first("tokens").alias("tokens"))
+        _lines(docs).join(spots, F.col("doc_id").eqNullSafe(F.col("owner")) & (F.col("row") == F.col("of_row")) & (F.col("line_no") == F.col("at")))
+        .select("set", "first", _tokens(F.col("line"), ranks).alias("tokens"))
+        .select("set", "first", "tokens", F.xxhash64("tokens").alias("found"), _wide_signature("tokens").alias("bits"))
     )
-    whole = cut(whole.join(sets, "set"), "whole")
-    release(spark)
+    whole = cut(whole, "whole").where("found = set")
     # A set goes if any earlier one is similar, so the earliest candidate is tried first; only sets that stay try all others.
-    firsts = [sets.select(F.col("set").alias(c), F.col("first").alias(f"first_{c}")) for c in ("a", "b")]
-    placed = candidates.join(firsts[0], "a").join(firsts[1], "b").where("first_a <> first_b")
-    sooner = F.col("first_a") < F.col("first_b")
-    placed = placed.select(
+    sides = cut(whole.groupBy("set").agg(F.first(F.struct("first", F.size("tokens").alias("n"), "bits")).alias("of")), "sides")
+    release(spark)
+    placed = candidates.join(sides.select(F.col("set").alias("a"), F.col("of").alias("of_a")), "a")
+    placed = placed.join(sides.select(F.col("set").alias("b"), F.col("of").alias("of_b")), "b").where("of_a.first <> of_b.first")
+    apart = sum((_apart(F.col("of_a.bits")[i], F.col("of_b.bits")[i]) for i in range(WIDE)), F.lit(0))
+    sooner = F.col("of_a.first") < F.col("of_b.first")
+    placed = placed.where((100 + percent) * apart <= (100 - percent) * (F.col("of_a.n") + F.col("of_b.n"))).select(
         F.when(sooner, F.col("b")).otherwise(F.col("a")).alias("set"), F.when(sooner, F.col("a")).otherwise(F.col("b")).alias("before"),
-        F.least("first_a", "first_b").alias("first"),
+        F.least("of_a.first", "of_b.first").alias("first"),
     )
     placed = cut(placed, "placed")
+    whole = whole.groupBy("set").agg(F.first("tokens").alias("tokens"))
     own, earlier = (whole.select(F.col("set").alias(c), F.col("tokens").alias(f"{c}_tokens")) for c in ("set", "before"))
     common = F.size(F.array_intersect("set_tokens", "before_tokens"))
     similar = (100 + percent) * common >= percent * (F.size("set_tokens") + F.size("before_tokens"))
@@ -117,7 +149,8 @@ def similar_lines(docs: DataFrame, percent: int = 80) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         return pairs.join(own, "set").join(earlier, "before").where(similar).select("set").distinct()
 
-    soonest = placed.groupBy("set").agg(F.min_by("before", "first").alias("before"))
+    soonest = cut(placed.groupBy("set").agg(F.min_by("before", "first").alias("before")), "soonest")
+    release(spark)
     gone = cut(confirmed(soonest), "later")
     release(spark)
     rest = placed.select("set", "before").join(gone, "set", "left_anti").join(soonest, ["set", "before"], "left_anti")

@@ -3,7 +3,9 @@ import re
 
 from edges import ROWS, same, table
 
+from assetloom.llm import line_dedup
 from assetloom.llm.line_dedup import drop_similar_lines
+from assetloom.session import cut
 
 
 def tokens(line):
@@ -50,3 +52,22 @@ def test_edges(spark):
     rows = [r[:2] for r in ROWS]
     assert same([tuple(r) for r in drop_similar_lines(table(spark)).collect()], brute(rows))
     assert drop_similar_lines(table(spark).limit(0)).count() == 0
+
+
+def test_lines_that_only_share_rare_words_are_not_read_again(spark, monkeypatch):
+    rows, common = [], [f"common{i}" for i in range(56)]
+    for pair in range(30):
+        rare = [f"rare{pair}x{i}" for i in range(12)]
+        rows += [(2 * pair, " ".join(rare + common[:28])), (2 * pair + 1, " ".join(rare + common[28:]))]
+    rows += [(100, rows[0][1] + " more")]
+    stored = {}
+
+    def counting(df, label="step"):
+        step = cut(df, label)
+        stored[label] = step.count()
+        return step
+
+    monkeypatch.setattr(line_dedup, "cut", counting)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert same([tuple(r) for r in drop_similar_lines(docs).collect()], brute(rows))
+    assert stored["whole"] == 2

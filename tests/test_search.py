@@ -108,3 +108,44 @@ def test_few_windows_are_scored(monkeypatch):
         best = min((round(-partial(x, y), 6), j) for j, y in enumerate(t["ttext"]))
         assert got.get(i) == (best if best[0] <= -80 else None)
     assert sum(scored) < 40 * 400 / 4
+
+
+@pytest.mark.parametrize("window_rows", [1, 1_024])
+def test_best_windows_over_shards(spark, monkeypatch, window_rows):
+    """Names with many ties, long names and names longer than all targets: the first target of the best score is found."""
+    monkeypatch.setattr(search, "WINDOW_ROWS", window_rows)
+    monkeypatch.setattr(search, "NEIGHBOURS", 3)
+    monkeypatch.setattr(search, "BOUND_CELLS", 100)
+    rnd = random.Random(window_rows)
+    a = [f"person {rnd.randrange(400):05d}" for _ in range(50)] + sentences(rnd, 10) + ["x" * 90, "person 00001 " * 7, "p"]
+    b = [f"a person {rnd.randrange(90):05d} {i % 7}" for i in range(60)] + ["person 00001", "p 1"] + sentences(rnd, 8) + ["large brass " * 8]
+    queries = spark.createDataFrame(list(enumerate(a)), "qid long, qtext string")
+    targets = spark.createDataFrame([(i + 1000, i, t) for i, t in enumerate(b)], "tid long, tpos long, ttext string")
+    got = {r.qid: (round(r.score, 6), r.tpos, r.tid) for r in nearest(queries, targets, Rule(80.0, inclusive=True, scorer="partial")).collect()}
+    for i, x in enumerate(a):
+        score, minus = max((round(partial(x, y), 6), -j) for j, y in enumerate(b))
+        assert got.get(i) == ((score, -minus, 1000 - minus) if score >= 80 else None)
+
+
+def test_few_windows_are_scored(monkeypatch):
+    """Numbered names against numbered staff: nearly all pairs are settled without trying their windows."""
+    from assetloom.functions import similarity
+
+    steps, slices = [], similarity.lcs_slices
+
+    def counted(a, ai, codes, starts, lengths, running=False):
+        steps.append(int(lengths.sum()))
+        return slices(a, ai, codes, starts, lengths, running)
+
+    monkeypatch.setattr(similarity, "lcs_slices", counted)
+    monkeypatch.setattr(search, "lcs_slices", counted, raising=False)
+    names = [f"supplier#{i * 37:09d}" for i in range(300)]
+    staff = [f"supplier supplier#{i:09d} {i % 25}" for i in range(400)]
+    inert = {**search.QUERY_DEFAULTS, "want": 1, "least": -1.0, "least_gap": search.NEVER, "least_pos": search.NEVER}
+    q = pd.DataFrame({"qid": range(len(names)), "qtext": names}).assign(**{k: v for k, v in inert.items()})
+    t = pd.DataFrame({"tid": range(len(staff)), "tpos": range(len(staff)), "ttext": staff}).assign(**search.TARGET_DEFAULTS)
+    found = search.score_group(q, t, Rule(80.0, inclusive=True, scorer="partial")).set_index("qid")
+    for i in range(0, len(names), 23):
+        score, minus = max((round(partial(names[i], y), 6), -j) for j, y in enumerate(staff))
+        assert (round(found.score[i], 6), found.tpos[i]) == (score, -minus)
+    assert sum(steps) < 10 * len(names) * len(staff)
